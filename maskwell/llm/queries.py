@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat_format import chat_digests
 from .exact_dedup import exact_dedup
 from .fingerprints import document_fingerprints
+from .simhash import simhash_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_fingerprints": op4_fingerprints,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
