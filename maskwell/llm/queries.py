@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat_format import chat_digests
 from .exact_dedup import exact_dedup
 from .fingerprints import document_fingerprints
+from .mixing import mix_documents
 from .simhash import simhash_groups
 
 
@@ -34,6 +35,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_fingerprints": op4_fingerprints,
+    "op7_mixing": op7_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
