@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat_format import chat_digests
 from .exact_dedup import exact_dedup
 from .fingerprints import document_fingerprints
+from .licenses import license_scan
 from .mixing import mix_documents
 from .simhash import simhash_groups
 
@@ -43,12 +44,17 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_fingerprints": op4_fingerprints,
     "op7_mixing": op7_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
