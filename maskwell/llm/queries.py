@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import document_fingerprints
 from .licenses import license_scan
 from .mixing import mix_documents
+from .secrets import secret_scan
 from .simhash import simhash_groups
 
 
@@ -37,6 +38,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_fingerprints": op4_fingerprints,
+    "op5_secret_scan": op5_secret_scan,
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash_dedup": op9_simhash_dedup,
