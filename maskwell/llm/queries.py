@@ -10,8 +10,10 @@ from .byte_bpe import round_trip_digests
 from .chat_format import chat_digests
 from .exact_dedup import exact_dedup
 from .fingerprints import document_fingerprints
+from .language_id import identify_languages
 from .licenses import license_scan
 from .mixing import mix_documents
+from .pii import pii_scan
 from .secrets import secret_scan
 from .simhash import simhash_groups
 
@@ -24,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 #: The planted conversation -1, which holds the template's own control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -42,6 +48,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
@@ -60,9 +70,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
+    "op6_pii_scan": op6_pii_scan,
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash_dedup": op9_simhash_dedup,
