@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SAMPLE_PER_LANGUAGE, FEATURES, EPOCHS, PENALTY, SHARPNESS, SEED = 400, 4096, 20, 1e-4, 4.0, 11
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
-#: A pipeline stage rejects documents below this score.
-REJECT_BELOW = 0.3
+#: A pipeline stage rejects `und` and scores below this, the least that two even decisions give.
+REJECT_BELOW = 0.25
 #: Families of language codes. A code that none lists is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"),
