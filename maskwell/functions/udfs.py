@@ -3,32 +3,32 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F, types as T
 
+from .. import vocab
 from ..operators import dates, validate
 from ..operators.note import deidentify
 from ..operators.resolve import indel_ratio as _indel_ratio
 from ..policy import Policy
-from .columns import dea_ok, npi_ok, ssn_ok, vin_ok
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _indel_ratio(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def shift_days(key: pd.Series, window: pd.Series) -> pd.Series:
     return pd.Series([dates.shift_days(k or "", int(w)) for k, w in zip(key, window)])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def ip_ok(value: pd.Series) -> pd.Series:
     """IPv4 and IPv6."""
     return value.map(lambda v: bool(v) and validate.ip(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mask_text(text: pd.Series) -> pd.Series:
     policy = Policy()
     return text.map(lambda t: None if t is None else deidentify(t, policy).masked)
@@ -43,14 +43,21 @@ def _spans_function():
     return F.udtf(Spans, returnType="start: int, `end`: int, category: string, text: string, score: double, source: string, detector: string")
 
 
+_DIGITS = "regexp_replace(value, '[^0-9]', '')"
+_VIN = "upper(trim(value))"
+#: SQL bodies of the validators of functions.columns.
+SQL_CHECKS = {
+    "valid_npi": f"length({_DIGITS}) = 10 AND luhn_check(concat('80840', {_DIGITS}))",
+    "valid_dea": "CASE WHEN trim(value) RLIKE '^[A-Za-z]{2}[0-9]{7}$' THEN (" + " + ".join(f"{1 + k % 2} * int(substring(trim(value), {k + 3}, 1))" for k in range(6)) + ") % 10 = int(substring(trim(value), 9, 1)) ELSE false END",
+    "valid_vin": f"CASE WHEN {_VIN} RLIKE '^[A-HJ-NPR-Z0-9]{{17}}$' THEN substring({_VIN}, 9, 1) = substring('0123456789X', aggregate(zip_with(split(translate({_VIN}, '{''.join(vocab.VIN_VALUES)}', '{''.join(map(str, vocab.VIN_VALUES.values()))}'), ''), array({', '.join(map(str, vocab.VIN_WEIGHTS))}), (c, w) -> int(c) * w), 0, (s, x) -> s + x) % 11 + 1, 1) ELSE false END",
+    "valid_ssn": f"length({_DIGITS}) = 9 AND substring({_DIGITS}, 1, 3) NOT IN ('000', '666') AND substring({_DIGITS}, 1, 1) <> '9' AND substring({_DIGITS}, 4, 2) <> '00' AND substring({_DIGITS}, 6, 4) <> '0000'",
+}
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions deid_mask, deid_spans (in LATERAL), indel_ratio, shift_days, valid_ip, valid_npi, valid_dea, valid_vin, valid_ssn."""
     for name, function in (("deid_mask", mask_text), ("indel_ratio", indel_ratio), ("shift_days", shift_days), ("valid_ip", ip_ok)):
         spark.udf.register(name, function)
     spark.udtf.register("deid_spans", _spans_function())
-    for name, check in (("valid_npi", npi_ok), ("valid_dea", dea_ok), ("valid_vin", vin_ok), ("valid_ssn", ssn_ok)):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS BOOLEAN RETURN {sql_of(check(F.col('value')))}")
-
-
-def sql_of(column: Column) -> str:
-    return column._jc.node().sql()
+    for name, body in SQL_CHECKS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS BOOLEAN RETURN {body}")

@@ -7,7 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TEXT_SUFFIXES = ("txt", "text", "md", "rtf")
 SNIFFED_BYTES = 8192
@@ -53,7 +53,7 @@ def pdf_text(content: bytes) -> str:
     return "\f".join(pages)
 
 
-@F.pandas_udf("text string, error string")
+@F.pandas_udf(T.StructType().add("text", "string").add("error", "string"))
 def _converted(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
     out = []
     for kind, raw in zip(suffix, content):
