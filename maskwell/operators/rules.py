@@ -27,6 +27,7 @@ _SCALE_BEFORE = re.compile(
     r"leg|back|neck|arm|shoulder|knee|hip|ankle|wrist|elbow|foot|hand|radicular)\b[^.;\n]{0,120}$"
 )
 _FAX_BEFORE = re.compile(r"(?i)\bfax\b[^.\n]{0,20}$")
+_DIGIT = re.compile(r"\d")
 #: The longest cue and the stretch behind it that a look to the left can need.
 _LOOK_BEHIND = 160
 
@@ -48,8 +49,13 @@ class Rule(NamedTuple):
     group: str | int = 0
     #: Returns whether the match counts, or (category, score, name) in place of the rule's own.
     check: Callable[[str, re.Match], object] | None = None
-    #: A pattern that any text with a match also matches, cheap to look for.
-    needs: re.Pattern | None = None
+    #: What any text with a match has too, cheap to look for: a pattern, or small letters of which one
+    #: must be in the lower-cased text.
+    needs: re.Pattern | tuple[str, ...] | None = None
+
+    @property
+    def numeric(self) -> bool:
+        return isinstance(self.needs, re.Pattern) and r"\d" in self.needs.pattern
 
 
 def _line_before(text: str, at: int) -> str:
@@ -105,7 +111,7 @@ def registry(bounded_initials: bool = False) -> tuple[Rule, ...]:
         Rule("ipv4", "IP", 0.95, c(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), 0, _whole(v.ip), c(r"\d\.\d")),
         Rule("ipv6", "IP", 0.95, c(r"\b(?:[A-Fa-f0-9]{0,4}:){2,7}[A-Fa-f0-9]{0,4}\b"), 0, _whole(v.ip), c(r":[A-Fa-f0-9]{0,4}:")),
         Rule("phone", "PHONE", 0.93, c(r"(?:\+?\d{1,2}[-.\s]?)?(?:\(\d{3}\)|\b\d{3})[-.\s]\d{3}[-.\s]\d{4}\b"), 0, _phone, c(r"\d{3}[-.\s]\d{4}")),
-        Rule("phone_ext", "PHONE", 0.70, c(r"(?i)\b(?:ext\.?|extension)\s*\d{1,6}\b|\bx\s*\d{3,6}\b"), needs=c(r"(?i)(?:ext\.?|extension|x)\s*\d")),
+        Rule("phone_ext", "PHONE", 0.70, c(r"(?i)\b(?:ext\.?|extension)\s*\d{1,6}\b|\bx\s*\d{3,6}\b"), needs=digit),
         Rule("ssn", "SSN", 0.96, c(r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b"), 0, _whole(v.ssn), c(r"\d{2}[-\s]?\d{4}")),
         Rule("mrn", "MRN", 0.96, cued(r"mrn|m\.r\.n\.|medical\s+record(?:\s+(?:no\.?|number|#))?|chart\s*(?:no\.?|number|#)?|record\s*#|patient\s+id", r"[:#]?\s*(?P<id>[A-Z0-9][A-Z0-9\-]{3,19})"), "id", _numbered, digit),
         Rule("account", "ACCOUNT", 0.94, cued(rf"account|acct\.?|billing|invoice|claim", rf"{_NUMBER}?\s*[:#]?\s*(?P<id>[A-Z0-9][A-Z0-9\-]{{3,24}})"), "id", _numbered, digit),
@@ -138,21 +144,21 @@ def registry(bounded_initials: bool = False) -> tuple[Rule, ...]:
         Rule("date_md", "DATE", 0.55, c(r"\b(\d{1,2})/(\d{1,2})\b"), 0, _month_day, c(r"\d/\d")),
         Rule("age_yo", "AGE", 0.90, c(r"(?i)\b(?P<age>\d{1,3})\s*[-\s]?\s*(?:years?|yrs?|y)\s*[-\s]?\s*(?:old|o)\b"), 0, _age, c(r"(?i)\d\s*-?\s*y")),
         Rule("age_yo_short", "AGE", 0.90, c(r"(?i)\b(?P<age>\d{1,3})\s*y[/.]?o\b"), 0, _age, c(r"(?i)\d\s*y")),
-        Rule("age_cued", "AGE", 0.90, c(r"(?i)\bage[d]?\s*(?:is|of|:|=)?\s*(?P<age>\d{1,3})\b"), 0, _age, c(r"(?i)age")),
-        Rule("age_over89_word", "AGE_OVER_89", 0.95, c(r"(?i)\b(?:nonagenarian|nonagenarians|centenarian|centenarians|supercentenarian|(?:in\s+(?:his|her|their|the)\s+(?:90s|nineties|late\s+90s)))\b"), needs=c(r"(?i)enarian|90s|nineties")),
+        Rule("age_cued", "AGE", 0.90, c(r"(?i)\bage[d]?\s*(?:is|of|:|=)?\s*(?P<age>\d{1,3})\b"), 0, _age, ("age",)),
+        Rule("age_over89_word", "AGE_OVER_89", 0.95, c(r"(?i)\b(?:nonagenarian|nonagenarians|centenarian|centenarians|supercentenarian|(?:in\s+(?:his|her|their|the)\s+(?:90s|nineties|late\s+90s)))\b"), needs=("enarian", "90s", "nineties")),
         Rule("title_name", "NAME_PROVIDER", 0.92, c(rf"\b(?P<title>{vocab.TITLE})\s+(?P<name>{name})"), "name", _title),
         Rule("name_credential", "NAME_PROVIDER", 0.92, c(rf"\b(?P<name>{name})\s*,\s*(?P<cred>{vocab.CREDENTIAL})(?![A-Za-z])"), "name", lambda t, m: not CREDENTIAL_ONLY.fullmatch(m["name"]), c(r",\s*[A-Z]")),
         Rule(
             "signature_name", "NAME_PROVIDER", 0.93,
             c(rf"(?im)^\s*(?:electronically\s+|e-)?(?:signed|dictated|transcribed|authenticated|verified|reviewed|entered|approved)\s*(?:by)?\s*[:\-]?\s*(?!by\b)(?P<name>{name})"),
-            "name", None, c(r"(?i)signed|dictated|transcribed|authenticated|verified|reviewed|entered|approved"),
+            "name", None, ("signed", "dictated", "transcribed", "authenticated", "verified", "reviewed", "entered", "approved"),
         ),
         Rule(
             "org", "ORG", 0.85,
             c(rf"\b(?P<org>(?:(?:{vocab.ORG_WORD}|{_CAP}) ){{0,4}}(?:{vocab.ORG_HEAD})(?: (?:of|for|at|the) {_CAP})?(?: (?:{vocab.ORG_WORD}|{vocab.ORG_HEAD}|{_CAP})){{0,3}})\b"),
-            "org", lambda t, m: not FACILITY_ONLY.fullmatch(m["org"]), c(rf"\b(?:{vocab.ORG_HEAD})"),
+            "org", lambda t, m: not FACILITY_ONLY.fullmatch(m["org"]),
         ),
-        Rule("org_allcaps", "ORG", 0.80, c(rf"\b(?P<org>(?:[A-Z&][A-Z&'’\-]{{0,19}}\s+){{1,5}}(?:{vocab.ORG_HEAD_CAPS})(?:\s+[A-Z&][A-Z&'’\-]{{0,19}}){{0,3}})\b"), "org", None, c(rf"\s(?:{vocab.ORG_HEAD_CAPS})\b")),
+        Rule("org_allcaps", "ORG", 0.80, c(rf"\b(?P<org>(?:[A-Z&][A-Z&'’\-]{{0,19}}\s+){{1,5}}(?:{vocab.ORG_HEAD_CAPS})(?:\s+[A-Z&][A-Z&'’\-]{{0,19}}){{0,3}})\b"), "org"),
         Rule("opaque_id", "ID_GENERIC", 0.40, c(r"\b[A-Za-z0-9][A-Za-z0-9\-_/]{4,23}\b"), 0, _whole(v.opaque), digit),
         Rule("long_digits", "ID_GENERIC", 0.55, c(r"\b\d{9,}\b"), needs=c(r"\d{9}")),
     )
@@ -170,9 +176,15 @@ def detect(text: str, segments: list[tuple[int, int, str]], categories: Iterable
     """All rule matches, in registry order; of some categories only, if given."""
     wanted = None if categories is None else frozenset(categories)
     starts, out = [s for s, _, _ in segments], []
+    low, has_digit, seen = text.lower(), bool(_DIGIT.search(text)), {}
     for rule in registry(bounded_initials):
-        if rule.needs and not rule.needs.search(text):
+        if rule.numeric and not has_digit:
             continue
+        if rule.needs:
+            if rule.needs not in seen:
+                seen[rule.needs] = any(w in low for w in rule.needs) if isinstance(rule.needs, tuple) else bool(rule.needs.search(text))
+            if not seen[rule.needs]:
+                continue
         if wanted is not None and not wanted & ({rule.category} | _OTHER.get(rule.name, frozenset())):
             continue
         for m in rule.pattern.finditer(text):

@@ -37,6 +37,18 @@ def _plain(result: note.Result) -> dict:
     }
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out over all cores if they come from fewer files than there are cores.
+
+    A small table in one row group is one task otherwise. Tables of many files, streams and rows that
+    come from no file are left as they are, so no shuffle is added where the data are large.
+    """
+    if rows.isStreaming:
+        return rows
+    files, cores = len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < files < cores else rows
+
+
 class Deidentifier:
     """Masks a text column under a policy.
 

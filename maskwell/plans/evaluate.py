@@ -118,15 +118,26 @@ def hipaa_rollup(spans: DataFrame, categories: DataFrame) -> DataFrame:
     return joined.rollup("hipaa", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def check_intervals(masked: DataFrame, id_: str, mapping: DataFrame) -> DataFrame:
-    """id_, placeholder, annotated, actual: each interval annotation against the mapped dates."""
+def check_intervals(rows: DataFrame, id_: str, mapping: str = "mapping") -> DataFrame:
+    """id_, placeholder, annotated, actual: each interval annotation against the dates it was made from.
+
+    Both dates are entries of the row's own mapping, so nothing is joined. actual is null where one
+    of them isn't a whole date.
+    """
     from ..functions.columns import parse_date
 
-    as_day = lambda p: F.when(p["day"].isNotNull() & p["year"].isNotNull(), F.make_date(p["year"], p["month"], p["day"]))
-    days = mapping.filter("category = 'DATE'").withColumn("_p", parse_date(F.col("canonical"))).select(id_, "placeholder", F.regexp_extract("placeholder", r"\[(DATE_[0-9]+)", 1).alias("name"), as_day(F.col("_p")).alias("day"))
-    noted = r"\[(DATE_[0-9]+) = (DATE_[0-9]+) ([+-]) ([0-9]+)d\]"
-    marks = masked.select(id_, F.explode(F.array_distinct(F.regexp_extract_all("masked_text", F.lit(noted), F.lit(0)))).alias("placeholder"))
+    name, noted = r"\[(DATE_[0-9]+)", r"\[(DATE_[0-9]+) = (DATE_[0-9]+) ([+-]) ([0-9]+)d\]"
+    marks = rows.select(id_, mapping, F.explode(F.filter(mapping, lambda e: e["placeholder"].rlike(noted))).alias("e"))
+    base = F.get(F.filter(mapping, lambda x: F.regexp_extract(x["placeholder"], name, 1) == F.regexp_extract("e.placeholder", noted, 2)), F.lit(0))["canonical"]
+    pairs = marks.select(id_, F.col("e.placeholder").alias("placeholder"), F.col("e.canonical").alias("own"), base.alias("base"))
+    parsed = pairs.select(id_, "placeholder", parse_date(F.col("own")).alias("own"), parse_date(F.col("base")).alias("base"))
+    day = lambda p: F.when(F.col(p)["day"].isNotNull() & F.col(p)["year"].isNotNull(), F.make_date(F.col(p)["year"], F.col(p)["month"], F.col(p)["day"]))
     sign = F.when(F.regexp_extract("placeholder", noted, 3) == "-", -1).otherwise(1)
-    parts = marks.select(id_, "placeholder", F.regexp_extract("placeholder", noted, 2).alias("from"), (sign * F.regexp_extract("placeholder", noted, 4).cast("int")).alias("annotated"))
-    own, base = days.select(id_, "placeholder", F.col("day").alias("_own")), days.select(id_, F.col("name").alias("from"), F.col("day").alias("_base"))
-    return parts.join(own, [id_, "placeholder"], "left").join(base, [id_, "from"], "left").select(id_, "placeholder", "annotated", F.datediff("_own", "_base").alias("actual"))
+    return parsed.select(id_, "placeholder", (sign * F.regexp_extract("placeholder", noted, 4).cast("int")).alias("annotated"), F.datediff(day("own"), day("base")).alias("actual"))
+
+
+def residual_dates(masked: Column) -> Column:
+    """Numeric dates that are still in a masked text."""
+    from ..functions.columns import blanked
+
+    return F.regexp_extract_all(blanked(masked), F.lit(r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b"), F.lit(0))

@@ -14,7 +14,7 @@ from .functions import columns as c
 from .operators import relational as rel
 from .plans import evaluate as ev, vault
 from .plans.audit import leak_scan
-from .plans.deidentify import Deidentifier, category_table, rehydrate
+from .plans.deidentify import Deidentifier, category_table, detect_spans, rehydrate, spread
 from .policy import Policy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def masked(notes: DataFrame):
+    return Deidentifier().transform(spread(notes))
+
+
 def padded(column: Column | str, width: int) -> Column:
     return F.lpad((F.col(column) if isinstance(column, str) else column).cast("string"), width, "0")
 
@@ -90,7 +94,7 @@ def detect_url_pages(spark, sf_dir):
     FROM documents WHERE regexp_matches(text, '\b{_EMAIL}\b')""")
 def mask_contacts(spark, sf_dir):
     """The flagship: masks every document; distinct e-mail placeholders, and whether an address is left."""
-    done = Deidentifier().transform(table(spark, sf_dir, "documents").select("doc_id", "text")).rows
+    done = masked(table(spark, sf_dir, "documents").select("doc_id", "text")).rows
     entries = F.size(F.filter("mapping", lambda e: e["category"] == "EMAIL")).cast("long")
     return done.select("doc_id", entries.alias("n_email"), F.col("masked_text").rlike(_EMAIL).alias("left_over")).filter("n_email > 0")
 
@@ -106,7 +110,7 @@ def deid_orders(spark, sf_dir):
     day = F.to_date("o_orderdate")
     later = F.date_add(day, (F.col("o_orderkey") % 31).cast("int"))
     text = F.concat(F.lit("MRN: "), padded("o_custkey", 8), F.lit("\nAdmitted "), F.date_format(day, "yyyy-MM-dd"), F.lit(". Surgery "), F.date_format(later, "MM/dd/yyyy"), F.lit("."))
-    return Deidentifier().transform(o.select("o_orderkey", text.alias("text"))).masked
+    return masked(o.select("o_orderkey", text.alias("text"))).masked
 
 
 @query("""
@@ -118,7 +122,7 @@ def mapping_orders(spark, sf_dir):
     day = F.to_date("o_orderdate")
     later = F.date_add(day, (F.col("o_orderkey") % 31).cast("int"))
     text = F.concat(F.lit("MRN: "), padded("o_custkey", 8), F.lit("\nAdmitted "), F.date_format(day, "yyyy-MM-dd"), F.lit(". Surgery "), F.date_format(later, "MM/dd/yyyy"), F.lit("."))
-    m = Deidentifier().transform(o.select("o_orderkey", text.alias("text"))).mapping
+    m = masked(o.select("o_orderkey", text.alias("text"))).mapping
     return m.select("o_orderkey", "category", "placeholder", "canonical", F.size("offsets").alias("n_offsets"), F.col("offsets")[0]["start"].alias("first_start"))
 
 
@@ -128,7 +132,7 @@ _AGE_TEXT = "CASE WHEN p_partkey % 140 > 130 THEN 'The patient is a ' || (p_part
 @query(f"SELECT p_partkey, {_AGE_TEXT} AS masked_text FROM part")
 def ages_bucket_synth(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("The patient is a %d-year-old male.", F.col("p_partkey") % 140).alias("text"))
-    return Deidentifier().transform(p).masked.select("p_partkey", "masked_text")
+    return masked(p).masked.select("p_partkey", "masked_text")
 
 
 _LETTERS = "translate(lpad(CAST({k} AS VARCHAR), 5, '0'), '0123456789', 'abcdefghij')"
@@ -138,7 +142,7 @@ _LETTERS = "translate(lpad(CAST({k} AS VARCHAR), 5, '0'), '0123456789', 'abcdefg
 def propagate_repeat_synth(spark, sf_dir):
     name = F.concat(F.lit("K"), F.translate(padded("s_suppkey", 5), "0123456789", "abcdefghij"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Mr. "), name, F.lit(" was admitted. "), name, F.lit(" improved.")).alias("text"))
-    r = Deidentifier().transform(s).rows
+    r = masked(s).rows
     return r.select("s_suppkey", "masked_text", F.col("mapping")[0]["canonical"].alias("canonical"), F.size(F.col("mapping")[0]["offsets"]).alias("mentions"))
 
 
@@ -148,7 +152,7 @@ def name_cluster_customer(spark, sf_dir):
     letters = F.translate(padded("c_custkey", 7), "0123456789", "abcdefghij")
     patient, doctor = F.concat(F.lit("K"), letters), F.concat(F.lit("V"), F.reverse(letters))
     text = F.concat(F.lit("Patient Name: "), F.upper(patient), F.lit(", JOHN A    Attending: E. "), doctor, F.lit(", MD\nMr. "), patient, F.lit(" met Dr. "), doctor, F.lit("."))
-    r = Deidentifier().transform(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).rows
+    r = masked(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).rows
     return r.select("c_custkey", "masked_text", F.size("mapping").alias("people"))
 
 
@@ -159,14 +163,14 @@ def field_cues_synth(spark, sf_dir):
     tail = F.substring(k, -4, 4)
     ssn = F.concat(F.lit("123-45-"), padded(F.col("c_custkey") % 8999 + 1000, 4))
     text = F.concat(F.lit("Phone: 617-555-"), tail, F.lit("    Fax: 617-556-"), tail, F.lit("\nDiagnosis: stable    SSN: "), ssn)
-    r = Deidentifier().transform(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).rows
+    r = masked(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).rows
     return r.select("c_custkey", "masked_text", F.size(F.filter("spans", lambda s: s["source"] == "field")).alias("n_field"))
 
 
 @query("SELECT p_partkey, 1 AS n_review, '[ID_GENERIC_1]' AS placeholder, 'score 0.40 in review band [0.2, 0.55) via opaque_id' AS reason FROM part")
 def review_band(spark, sf_dir):
     text = F.concat(F.lit("Tag item ZQ"), padded("p_partkey", 6), F.lit("X noted."))
-    r = Deidentifier().transform(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).rows
+    r = masked(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).rows
     return r.select("p_partkey", F.size("review").alias("n_review"), F.col("review")[0]["placeholder"].alias("placeholder"), F.col("review")[0]["reason"].alias("reason"))
 
 
@@ -437,8 +441,8 @@ def label_counts(spark, sf_dir):
 def interval_check(spark, sf_dir):
     day = F.to_date("o_orderdate")
     text = F.concat(F.lit("Admitted "), F.date_format(day, "yyyy-MM-dd"), F.lit(". Surgery "), F.date_format(F.date_add(day, (F.col("o_orderkey") % 30 + 1).cast("int")), "MM/dd/yyyy"), F.lit("."))
-    done = Deidentifier().transform(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
-    found = ev.check_intervals(done.masked, "o_orderkey", done.mapping)
+    done = masked(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
+    found = ev.check_intervals(done.rows, "o_orderkey")
     return found.select("o_orderkey", "placeholder", F.col("annotated").cast("long").alias("annotated"), F.col("actual").cast("long").alias("actual"))
 
 
@@ -454,6 +458,29 @@ def gold_overlap_counts(spark, sf_dir):
     return both.select("doc", F.size("gold").cast("long").alias("n"), ev.one_to_one("gold", "pred").alias("s")).select("doc", "n", F.col("s.tp").cast("long").alias("near"))
 
 
+# One text for each detector, {n} being four digits of a key: name, text, category, start, end, score.
+RULE_CASES = (
+    ("email", "Mail u{n}@example.org now", "EMAIL", 5, 22, 0.99), ("url", "See https://x.example/{n} now", "URL", 4, 26, 0.97), ("ipv4", "Host 10.0.1.7 key {n}", "IP", 5, 13, 0.95), ("ipv6", "Host fe80::1ff:fe23 key {n}", "IP", 5, 19, 0.95),
+    ("phone", "Call 617-555-{n} now", "PHONE", 5, 17, 0.93), ("fax", "By fax 617-555-{n} now", "FAX", 7, 19, 0.93), ("phone_ext", "Use ext. {n} now", "PHONE", 4, 13, 0.70), ("ssn", "Has 123-45-6789 key {n}", "SSN", 4, 15, 0.96), ("mrn", "The MRN 77{n} is", "MRN", 8, 14, 0.96),
+    ("account", "On account 88{n} is", "ACCOUNT", 11, 17, 0.94), ("health_plan", "The member id M{n}Q is", "HEALTH_PLAN_ID", 14, 20, 0.94), ("licence", "Has license L9{n}X is", "LICENCE", 12, 19, 0.92), ("device", "Has serial SN{n}A is", "DEVICE", 11, 18, 0.92), ("plate", "Has plate AB{n}, is", "VEHICLE", 10, 16, 0.92),
+    ("npi_cued", "An NPI 123456{n} is", "LICENCE", 7, 17, 0.98), ("npi_luhn", "Got 1245319599 key {n}", "LICENCE", 4, 14, 0.70), ("dea_cued", "A DEA AB123{n} is", "LICENCE", 6, 15, 0.97), ("dea_check", "Got AB1234563 key {n}", "LICENCE", 4, 13, 0.72), ("vin_check", "Got 1M8GDM9AXKP042788 key {n}", "VEHICLE", 4, 21, 0.98),
+    ("zip_state", "In MA 02134 key {n}", "GEO_ZIP", 6, 11, 0.93), ("zip_cued", "At zip 9{n} is", "GEO_ZIP", 7, 12, 0.93), ("street", "At {n} Alder Street is", "GEO_STREET", 3, 20, 0.90), ("birth_year", "She was born in 1950, key {n}", "DATE", 16, 20, 0.88), ("date_iso", "On 2020-02-29 key {n}", "DATE", 3, 13, 0.97),
+    ("date_numeric", "On 02/29/2020 key {n}", "DATE", 3, 13, 0.96), ("date_mdy", "On March 4, 2020 key {n}", "DATE", 3, 16, 0.97), ("date_dmy", "On 4 March 2020 key {n}", "DATE", 3, 15, 0.97), ("date_my", "In March 2020 key {n}", "DATE", 3, 13, 0.90), ("date_md", "On 4/18 key {n}", "DATE", 3, 7, 0.55), ("age_yo", "A 72 year old key {n}", "AGE", 2, 13, 0.90),
+    ("age_yo_short", "A 95 y.o key {n}", "AGE_OVER_89", 2, 8, 0.97), ("age_cued", "Aged 41, key {n}", "AGE", 0, 7, 0.90), ("age_over89_word", "A nonagenarian key {n}", "AGE_OVER_89", 2, 14, 0.95), ("title_name", "Saw Mrs. Marsh key {n}", "NAME_PATIENT", 9, 14, 0.92), ("name_credential", "Saw Ann Marsh, RN key {n}", "NAME_PROVIDER", 0, 13, 0.92),
+    ("signature_name", "Signed by: Marsh, key {n}", "NAME_PROVIDER", 11, 16, 0.93), ("org", "at Wood Memorial, key {n}", "ORG", 3, 16, 0.85), ("org_allcaps", "at WOODS SPINE INSTITUTE, key {n}", "ORG", 3, 24, 0.80), ("opaque_id", "Got QX{n}ZB now", "ID_GENERIC", 4, 12, 0.40), ("long_digits", "Got 98765{n} now", "ID_GENERIC", 4, 13, 0.55),
+)
+
+
+@query("SELECT s_suppkey, c.* FROM supplier, (VALUES " + ", ".join(f"('{d}', '{k}', {s}, {e}, CAST({x} AS DOUBLE))" for d, _, k, s, e, x in RULE_CASES) + ') AS c(detector, category, start, "end", score)')
+def rule_catalogue(spark, sf_dir):
+    """Every rule detector on a text of its own, for each supplier."""
+    n = F.substring(padded(F.col("s_suppkey") + 1000, 4), -4, 4)
+    cases = F.array(*[F.struct(F.lit(d).alias("want"), F.concat(*[p for k, part in enumerate(t.split("{n}")) for p in ([n] if k else []) + [F.lit(part)]]).alias("text")) for d, t, *_ in RULE_CASES])
+    notes = spread(table(spark, sf_dir, "supplier")).select("s_suppkey", F.explode(cases).alias("x")).select("s_suppkey", "x.want", "x.text")
+    found = detect_spans(notes).select("s_suppkey", "want", F.explode("spans").alias("s")).filter("s.detector = want")
+    return found.select("s_suppkey", F.col("want").alias("detector"), "s.category", "s.start", "s.end", "s.score")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Masks all documents of the smallest table."""
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
