@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import schema
+from ..operators import guards
 from ..operators.audit import scan
 from ..operators.rewrite import Entry
 from ..policy import Policy
@@ -33,3 +34,22 @@ def leak_scan(masked: DataFrame, text: str = "masked_text", mapping: str | None
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *done.columns], [*batch.schema.names[:-2], *arrow.names])
 
     return rows.mapInArrow(run, StructType(rows.schema.fields[:-2] + added.fields))
+
+
+def guard_flags(spans: DataFrame) -> DataFrame:
+    """spans (text, surface, category) with flags, map<string, boolean>: which guard would drop the first occurrence."""
+    at = {c: spans.columns.index(c) for c in ("text", "surface", "category")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, surface, category in zip(*(batch.column(at[c]).to_pylist() for c in ("text", "surface", "category"))):
+                start = text.find(surface)
+                end = start + len(surface)
+                out.append([
+                    ("eponym_use", guards.eponym_use(text, start, end)), ("clinical_label", guards.clinical_label(surface)), ("code_fragment", guards.code_fragment(text, start, end)),
+                    ("facility_kind", guards.facility_kind(text, start, end)), ("credential_only", guards.credential_only(surface)), ("implausible", guards.implausible(category, surface)),
+                ])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.map_(pa.string(), pa.bool_()))], [*batch.schema.names, "flags"])
+
+    return spans.mapInArrow(run, StructType(spans.schema.fields + StructType.fromDDL("flags map<string,boolean>").fields))

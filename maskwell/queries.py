@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .functions import columns as c
 from .operators import relational as rel
 from .plans import evaluate as ev, vault
-from .plans.audit import leak_scan
+from .plans.audit import guard_flags, leak_scan
 from .plans.deidentify import Deidentifier, category_table, detect_spans, rehydrate, spread
 from .policy import Policy
+from .sources import gold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -481,6 +482,72 @@ def rule_catalogue(spark, sf_dir):
     return found.select("s_suppkey", F.col("want").alias("detector"), "s.category", "s.start", "s.end", "s.score")
 
 
+@query("""
+    SELECT s_suppkey, c.* FROM supplier, (VALUES ('header', 0, 30), ('table', 48, 61), ('signature', 67, 83)) AS c(kind, start, "end")""")
+def segments_synth(spark, sf_dir):
+    text = F.concat(F.lit("Name: Kab\nMRN: 7"), F.substring(padded("s_suppkey", 4), -4, 4), F.lit("\nDOB: 1950\n\nBody text here.\nA    1\nB    2\nbody\nSigned by: X\nend\n"))
+    return masked(table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text"))).segments.select("s_suppkey", "kind", "start", "end")
+
+
+@query("""
+    SELECT c_custkey, 'Seen on [DATE_1 = ' || (1990 + c_custkey % 30) || ']; born [DATE_2' || CASE WHEN 1990 + c_custkey % 30 - 1925 >= 89 THEN '' ELSE ' = 1925' END || '].' AS retained,
+        'Seen on [DATE_1]; born [DATE_2].' AS harbor FROM customer""")
+def date_modes(spark, sf_dir):
+    text = F.concat(F.lit("Seen on "), (F.col("c_custkey") % 30 + 1990).cast("string"), F.lit("-06-15; born 02/03/1925."))
+    notes = spread(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")))
+    first = Deidentifier(Policy(retain_year=True, date_mode="safe_harbor")).transform(notes).masked.select("c_custkey", F.col("masked_text").alias("retained"))
+    return first.join(Deidentifier(Policy(date_mode="safe_harbor")).transform(notes).masked.select("c_custkey", F.col("masked_text").alias("harbor")), "c_custkey")
+
+
+@query(f"SELECT s_suppkey, 11 AS start, 17 AS \"end\", 'NAME_PATIENT' AS label FROM supplier UNION ALL SELECT s_suppkey, 0, 6, 'NAME_PROVIDER' FROM supplier")
+def gold_build(spark, sf_dir):
+    name = F.concat(F.lit("K"), F.translate(padded("s_suppkey", 5), "0123456789", "abcdefghij"))
+    notes = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(name, F.lit(" saw "), name, F.lit(".")).alias("text"))
+    marks = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("surface"), F.explode(F.expr("array(named_struct('label', 'NAME_PROVIDER', 'nth', 1), named_struct('label', 'NAME_PATIENT', 'nth', 2))")).alias("m")).select("s_suppkey", "surface", "m.label", "m.nth")
+    return gold.build(notes, marks, "s_suppkey").select("s_suppkey", F.explode("spans").alias("s")).select("s_suppkey", "s.start", "s.end", "s.label")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, l_linenumber, CAST(min(l_quantity) AS INT) AS q, min(l_returnflag) AS label FROM lineitem GROUP BY 1, 2),
+    t AS (SELECT l_orderkey AS doc, l_linenumber AS idx, l_linenumber * 10 AS s, l_linenumber * 10 + 8 AS e FROM l),
+    p AS (SELECT l_orderkey AS doc, l_linenumber * 20 + 3 AS s, l_linenumber * 20 + 4 + q % 17 AS e, label FROM l WHERE l_linenumber <= 3),
+    f AS (SELECT t.doc, t.idx, t.s, arg_min(p.s, p.s) AS ps, arg_min(p.label, p.s) AS label FROM t JOIN p ON t.doc = p.doc AND t.s < p.e AND p.s < t.e GROUP BY 1, 2, 3)
+    SELECT t.doc, t.idx, CASE WHEN f.label IS NULL THEN 'O' WHEN t.s <= f.ps THEN 'B-' || f.label ELSE 'I-' || f.label END AS tag FROM t LEFT JOIN f USING (doc, idx)""")
+def bio_align(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("label"))
+    tokens = line.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("idx"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 8).alias("end"))
+    at = F.col("l_linenumber") * 20 + 3
+    spans = line.filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("doc"), at.alias("start"), (at + 1 + F.col("q") % 17).alias("end"), "label")
+    return rel.align_bio(tokens, spans, ["doc"]).select("doc", "idx", "tag")
+
+
+@query("SELECT c_custkey, 'Phone: [PHONE_1]    Fax: [FAX_1]' AS masked, 'PHONE' AS category, '617-555-' || right(lpad(CAST(c_custkey AS VARCHAR), 4, '0'), 4) AS canonical, 1 AS n_phone FROM customer")
+def mapping_json(spark, sf_dir):
+    """The result of a note as JSON and back, with its counts by category."""
+    tail = F.substring(padded("c_custkey", 4), -4, 4)
+    done = masked(table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Phone: 617-555-"), tail, F.lit("    Fax: 617-556-"), tail).alias("text")))
+    text = done.rows.select("c_custkey", done.as_json().alias("j"), F.to_json("mapping").alias("m"))
+    entry_ = vault.entries_of(F.col("m"))[0]
+    counts = done.counts.select("c_custkey", F.col("counts")["PHONE"].cast("int").alias("n_phone"))
+    return text.select("c_custkey", F.get_json_object("j", "$.masked").alias("masked"), entry_["category"].alias("category"), entry_["canonical"].alias("canonical")).join(counts, "c_custkey")
+
+
+# Guards and resolution on texts of their own: guard, text, surface, category, expected.
+GUARD_CASES = (
+    ("eponym_use", "has Parkinson''s disease", "Parkinson", "NAME_PATIENT", True), ("eponym_use", "Dr. Parkinson called", "Parkinson", "NAME_PATIENT", False), ("eponym_use", "history of Crohn", "Crohn", "NAME_PATIENT", True), ("clinical_label", "Pain    7/10", "Pain", "NAME_PATIENT", True),
+    ("clinical_label", "Painter    7", "Painter", "NAME_PATIENT", False), ("code_fragment", "as ICD-10 G20", "10", "DATE", True), ("code_fragment", "in 02134 now", "02134", "GEO_ZIP", False), ("facility_kind", "the Medical Center here", "Medical", "ORG", True),
+    ("facility_kind", "HALLOWAY SPINE INSTITUTE", "SPINE INSTITUTE", "ORG", False), ("credential_only", "Petrosyan, PT, DPT", ", DPT", "NAME_PROVIDER", True), ("credential_only", "Petrosyan, PT", "Petrosyan, PT", "NAME_PROVIDER", False), ("implausible", "Adjustment 950", "950", "FAX", True),
+    ("implausible", "Paid $18,204.36", "$18,204.36", "HEALTH_PLAN_ID", True), ("implausible", "Ref MER-778213", "MER-778213", "MRN", False),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{t}', '{s}', {x})" for g, t, s, _, x in GUARD_CASES) + ") AS c(guard, text, surface, drops)")
+def guard_catalogue(spark, sf_dir):
+    """Each over-redaction guard where it must and must not speak."""
+    cases = spark.createDataFrame([(g, t.replace("''", "'"), s, c_) for g, t, s, c_, _ in GUARD_CASES], "guard string, text string, surface string, category string")
+    return guard_flags(cases).select("guard", "text", "surface", F.col("flags")[F.col("guard")].alias("drops"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Masks all documents of the smallest table."""
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
