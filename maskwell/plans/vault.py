@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema
 
 
-def load_key(env: str = "PHI_VAULT_KEY") -> bytes:
+def load_key(env: str = "MASKWELL_VAULT_KEY") -> bytes:
     """32 bytes: the variable's base64, else its own bytes, other lengths hashed; random if unset."""
     value = os.environ.get(env)
     if not value:

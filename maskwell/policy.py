@@ -36,7 +36,7 @@ class Policy:
     review_low: float = 0.20
     review_high: float = 0.55
     vault_ttl_seconds: int = 3600
-    vault_key_env: str = "PHI_VAULT_KEY"
+    vault_key_env: str = "MASKWELL_VAULT_KEY"
     eponyms: frozenset[str] = vocab.EPONYMS
     #: Ends a middle initial at a word boundary, so that "Elena Petrosyan" isn't cut to "Elena".
     bounded_initials: bool = False
