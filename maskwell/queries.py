@@ -536,8 +536,8 @@ def mapping_json(spark, sf_dir):
 GUARD_CASES = (
     ("eponym_use", "has Parkinson''s disease", "Parkinson", "NAME_PATIENT", True), ("eponym_use", "Dr. Parkinson called", "Parkinson", "NAME_PATIENT", False), ("eponym_use", "history of Crohn", "Crohn", "NAME_PATIENT", True), ("clinical_label", "Pain    7/10", "Pain", "NAME_PATIENT", True),
     ("clinical_label", "Painter    7", "Painter", "NAME_PATIENT", False), ("code_fragment", "as ICD-10 G20", "10", "DATE", True), ("code_fragment", "in 02134 now", "02134", "GEO_ZIP", False), ("facility_kind", "the Medical Center here", "Medical", "ORG", True),
-    ("facility_kind", "HALLOWAY SPINE INSTITUTE", "SPINE INSTITUTE", "ORG", False), ("credential_only", "Petrosyan, PT, DPT", ", DPT", "NAME_PROVIDER", True), ("credential_only", "Petrosyan, PT", "Petrosyan, PT", "NAME_PROVIDER", False), ("implausible", "Adjustment 950", "950", "FAX", True),
-    ("implausible", "Paid $18,204.36", "$18,204.36", "HEALTH_PLAN_ID", True), ("implausible", "Ref MER-778213", "MER-778213", "MRN", False),
+    ("facility_kind", "OSTROM SPINE INSTITUTE", "SPINE INSTITUTE", "ORG", False), ("credential_only", "Castell, PT, DPT", ", DPT", "NAME_PROVIDER", True), ("credential_only", "Castell, PT", "Castell, PT", "NAME_PROVIDER", False), ("implausible", "Credit 845", "845", "FAX", True),
+    ("implausible", "Paid $7,310.25", "$7,310.25", "HEALTH_PLAN_ID", True), ("implausible", "Ref TKV-310442", "TKV-310442", "MRN", False),
 )
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SYLLABLES = {"train": ("bra", "don", "kel", "mor", "tas", "vin", "wex", "lor"), "test": ("zel", "pha", "gri", "hob", "jun", "quo", "rys", "sket")}
-_CLINICAL = ("Pain 7/10 at rest, 4/10 with ambulation.", "BP 148/88, HR 96, RR 20.", "Positive Tinel sign on the left.", "Crohn's disease is quiescent.", "Ibuprofen 600 mg q8h PRN.", "Assessment: M54.12, stable.")
+_CLINICAL = ("Pain 5/10 when seated.", "BP 121/79, HR 70, RR 14.", "Babinski sign is absent.", "Addison's disease under control.", "Takes 1/2 tablet at night.", "Codes: E11.9 and I10.")
 _SCHEMA = "note_id long, text string, spans array<struct<start:int,end:int,label:string>>, source string, split string"
 
 
@@ -59,7 +59,7 @@ def _adversarial(n: _Note) -> None:
             lambda: n.put("Dr. ", ("NAME_PROVIDER", "Parkinson"), " ruled out Parkinson's disease. "),
             lambda: n.put("Mr. ", ("NAME_PATIENT", name), " was admitted to ", ("ORG", f"{name} Memorial Hospital"), ". "),
             lambda: n.put("The patient is a ", ("AGE_OVER_89", f"{r.randrange(90, 106)}-year-old"), ". "),
-            lambda: n.put("pt seen today by dr ", ("NAME_PROVIDER", name.lower()), " no acute distress. "),
+            lambda: n.put("came with dr ", ("NAME_PROVIDER", name.lower()), " and left. "),
             lambda: n.put(r.choice(_CLINICAL), " "),
         ))()
 
