@@ -141,7 +141,8 @@ def train(docs: DataFrame) -> Hierarchy:
         return Hierarchy(np.zeros((0, FEATURES), np.float32), [])
     shares = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(int(min(1.0, 1.2 * SAMPLE_PER_LANGUAGE / n) * (1 << 40))))])
     sample = known.select("lang", mixed.alias("mixed"), F.col("text").cast("string").alias("text")).filter(F.col("mixed") < shares[F.col("lang")])
-    rows = sample.limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).mapInArrow(_feature_rows, "lang string, mixed long, x binary").collect()
+    # Vectors are made where the texts are; the limit only guards the driver against ids that repeat.
+    rows = sample.mapInArrow(_feature_rows, "lang string, mixed long, x binary").limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).collect()
     by_lang: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["mixed"], r["x"])):
         own = by_lang.setdefault(r["lang"], [])
