@@ -61,6 +61,9 @@ class Deidentifier:
     def transform(self, docs: DataFrame, text: str = "text", key: str | None = None) -> Deidentified:
         """docs with the columns of schema.RESULT. key: a column that names the patient, for date shifts."""
         policy, sources = self.policy, self.sources
+        clash = {c.lower() for c in docs.columns if c != text} & {f.name for f in StructType.fromDDL(schema.RESULT)}
+        if clash:
+            raise ValueError(f"columns of the result are there already: {', '.join(sorted(clash))}")
         own = [F.col(f"`{c}`") for c in docs.columns if c != text]
         rows = docs.select(*own, docs[text].cast("string").alias("_text"), (docs[key].cast("string") if key else F.lit(None).cast("string")).alias("_key"))
         added = StructType.fromDDL(schema.RESULT)

@@ -31,6 +31,8 @@ def test_wide_result(spark):
     assert {r["id"]: r["counts"] for r in done.counts.collect()}[1] == {"SSN": 1}
     assert json.loads(done.rows.filter("id = 1").select(done.as_json()).first()[0])["masked"] == "SSN: [SSN_1]"
     assert Deidentifier().transform(docs.filter("false")).rows.count() == 0
+    with pytest.raises(ValueError, match="spans"):
+        Deidentifier().transform(docs.withColumn("Spans", F.lit(1)))
 
 
 def test_sources_of_spans(spark):
