@@ -195,15 +195,16 @@ def rehydrate_unknown(spark, sf_dir):
     return rehydrate(responses, mapping, ["s_suppkey"]).select("s_suppkey", "rehydrated", "n_unknown")
 
 
-@query("SELECT s_suppkey, '[[x]]' || s_name AS opened, true AS hidden FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '[[x]]' || s_name ELSE 'expired' END AS opened, true AS hidden FROM supplier")
 def vault_round_trip(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session_id"), F.concat(F.lit("[[x]]"), "s_name").alias("mapping"), "s_name")
     key = bytes(range(32))
     sealed = vault.seal(s.drop("s_name"), key, 3600, now=F.lit("2024-01-01 00:00:00").cast("timestamp"))
     # Every other record is moved past its expiry.
     aged = sealed.withColumn("expires_at", F.when(F.col("session_id") % 2 == 0, F.col("expires_at")).otherwise(F.lit("2023-01-01").cast("timestamp")))
-    opened = vault.unseal(aged, key, now=F.lit("2024-01-01 00:30:00").cast("timestamp")).join(sealed.select("session_id", F.hex("ciphertext").alias("h")), "session_id")
-    return opened.select(F.col("session_id").alias("s_suppkey"), F.col("mapping_json").alias("opened"), (~F.col("h").contains(F.hex(F.encode("mapping_json", "utf-8")))).alias("hidden"))
+    opened = vault.unseal(aged, key, now=F.lit("2024-01-01 00:30:00").cast("timestamp"))
+    held = sealed.select("session_id", F.hex("ciphertext").alias("h")).join(s, "session_id").join(opened, "session_id", "left")
+    return held.select(F.col("session_id").alias("s_suppkey"), F.coalesce("mapping_json", F.lit("expired")).alias("opened"), (~F.col("h").contains(F.hex(F.encode("mapping", "utf-8")))).alias("hidden"))
 
 
 # JVM columns ---------------------------------------------------------------------------------------
@@ -272,14 +273,14 @@ def segment_islands(spark, sf_dir):
     return rel.runs(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], "event_type")
 
 
-_SPANS_SQL = """g AS (SELECT l_orderkey AS doc, l_linenumber * 20 AS s, l_linenumber * 20 + 5 + CAST(l_quantity AS INT) % 9 AS e, l_returnflag AS label FROM lineitem WHERE l_linenumber % 2 = 1),
+_SPANS_SQL = """g AS (SELECT l_orderkey AS doc, l_linenumber * 20 AS s, l_linenumber * 20 + 5 + CAST(l_quantity AS INT) % 9 AS e, l_returnflag AS label FROM lineitem),
     p AS (SELECT l_orderkey AS doc, l_linenumber * 20 - 8 AS s, l_linenumber * 20 - 8 + CAST(l_quantity AS INT) % 14 AS e, l_linestatus AS label FROM lineitem)"""
 
 
 def _two_span_tables(spark, sf_dir):
     line, q = table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("int")
     at = F.col("l_linenumber") * 20
-    gold = line.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("doc"), at.alias("start"), (at + 5 + q % 9).alias("end"), F.col("l_returnflag").alias("label"))
+    gold = line.select(F.col("l_orderkey").alias("doc"), at.alias("start"), (at + 5 + q % 9).alias("end"), F.col("l_returnflag").alias("label"))
     pred = line.select(F.col("l_orderkey").alias("doc"), (at - 8).alias("start"), (at - 8 + q % 14).alias("end"), F.col("l_linestatus").alias("label"))
     return gold, pred
 
@@ -510,14 +511,14 @@ def gold_build(spark, sf_dir):
 @query("""
     WITH l AS (SELECT l_orderkey, l_linenumber, CAST(min(l_quantity) AS INT) AS q, min(l_returnflag) AS label FROM lineitem GROUP BY 1, 2),
     t AS (SELECT l_orderkey AS doc, l_linenumber AS idx, l_linenumber * 10 AS s, l_linenumber * 10 + 8 AS e FROM l),
-    p AS (SELECT l_orderkey AS doc, l_linenumber * 20 + 3 AS s, l_linenumber * 20 + 4 + q % 17 AS e, label FROM l WHERE l_linenumber <= 3),
+    p AS (SELECT l_orderkey AS doc, l_linenumber * 20 + 3 AS s, l_linenumber * 20 + 4 + q % 17 AS e, label FROM l),
     f AS (SELECT t.doc, t.idx, t.s, arg_min(p.s, p.s) AS ps, arg_min(p.label, p.s) AS label FROM t JOIN p ON t.doc = p.doc AND t.s < p.e AND p.s < t.e GROUP BY 1, 2, 3)
     SELECT t.doc, t.idx, CASE WHEN f.label IS NULL THEN 'O' WHEN t.s <= f.ps THEN 'B-' || f.label ELSE 'I-' || f.label END AS tag FROM t LEFT JOIN f USING (doc, idx)""")
 def bio_align(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("label"))
     tokens = line.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("idx"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 8).alias("end"))
     at = F.col("l_linenumber") * 20 + 3
-    spans = line.filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("doc"), at.alias("start"), (at + 1 + F.col("q") % 17).alias("end"), "label")
+    spans = line.select(F.col("l_orderkey").alias("doc"), at.alias("start"), (at + 1 + F.col("q") % 17).alias("end"), "label")
     return rel.align_bio(tokens, spans, ["doc"]).select("doc", "idx", "tag")
 
 

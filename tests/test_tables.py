@@ -11,7 +11,7 @@ from maskwell.functions import columns as c, udfs
 from maskwell.operators import dates, relational as rel, validate
 from maskwell.plans import evaluate as ev, service, vault
 from maskwell.plans.audit import leak_scan
-from maskwell.plans.deidentify import Deidentifier, category_table, detect_spans, rehydrate
+from maskwell.plans.deidentify import Deidentifier, category_table, detect_spans
 from maskwell.policy import Policy, load_policy
 from maskwell.operators.spans import Span
 from maskwell.sources import corpus, files, gold, reports
