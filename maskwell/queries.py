@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import columns as c
 from .operators import relational as rel
-from .plans import evaluate as ev, vault
+from .plans import contacts, evaluate as ev, vault
 from .plans.audit import guard_flags, leak_scan
 from .plans.deidentify import Deidentifier, category_table, detect_spans, rehydrate, spread
 from .policy import Policy
@@ -100,6 +100,16 @@ def mask_contacts(spark, sf_dir):
     return done.select("doc_id", entries.alias("n_email"), F.col("masked_text").rlike(_EMAIL).alias("left_over")).filter("n_email > 0")
 
 
+@query(rf"""
+    WITH m AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '{_EMAIL}'), lambda x: lower(x))) AS e, list_distinct(list_filter(regexp_extract_all(text, '{_IPV4}'), lambda x: regexp_full_match(x, '({_OCTET}\.){{3}}{_OCTET}'))) AS i, list_distinct(regexp_extract_all(text, '{_PHONE}')) AS p FROM documents)
+    SELECT doc_id, len(e) AS n_email, len(i) AS n_ip, len(p) AS n_phone, false AS left_over FROM m WHERE len(e) + len(i) + len(p) > 0""")
+def mask_contacts_jvm(spark, sf_dir):
+    """Contacts masked by Spark expressions alone: distinct placeholders by category, and whether one is left."""
+    done = contacts.mask_contacts(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=("email", "ipv4", "phone")).filter(F.size("contacts") > 0)
+    n = lambda category: F.size(F.array_distinct(F.transform(F.filter("contacts", lambda s: s["category"] == category), lambda s: s["placeholder"]))).cast("long")
+    return done.select("doc_id", n("EMAIL").alias("n_email"), n("IP").alias("n_ip"), n("PHONE").alias("n_phone"), F.col("masked_text").rlike(_EMAIL).alias("left_over"))
+
+
 # Whole notes written from relational columns --------------------------------------------------------
 
 

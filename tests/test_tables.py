@@ -148,6 +148,21 @@ def test_one_to_one_against_a_loop(spark):
         assert (tp, fp, fn, exact, uncovered) == (hits, len(pred) - hits, len(gold_) - hits, same, bare)
 
 
+def test_contacts_on_the_jvm(spark, sf):
+    from maskwell.plans.contacts import mask_contacts
+
+    odd = [(1, "a@b.org, A@B.ORG and c@d.net"), (2, "é😀 10.0.0.1 (617) 555-0123."), (3, None), (4, ""), (5, "see www.x.org/a@b.org now 123-45-6789")]
+    got = {r["id"]: r["masked_text"] for r in mask_contacts(spark.createDataFrame(odd, "id int, text string")).collect()}
+    assert got == {1: "[EMAIL_1], [EMAIL_1] and [EMAIL_2]", 2: "é😀 [IP_1] [PHONE_1].", 3: None, 4: "", 5: "see www.x.org/[EMAIL_1] now [SSN_1]"}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    fast = {r["doc_id"]: r["masked_text"] for r in mask_contacts(docs, rules=("email", "ipv4", "phone")).collect()}
+    for r in Deidentifier().transform(docs).rows.collect():
+        if r["spans"] and {s["category"] for s in r["spans"]} <= {"EMAIL", "IP", "PHONE"}:
+            assert fast[r["doc_id"]] == r["masked_text"]
+    plan = mask_contacts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
 def test_rehydrate_and_vault(spark):
     key = bytes(range(32))
     requests = spark.createDataFrame([("s1", "SSN: 219-44-8812"), ("s2", "Mail a@b.org")], "session_id string, text string")
