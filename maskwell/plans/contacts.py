@@ -4,18 +4,55 @@ Spark expressions over arrays in the row. For corpora where names and form field
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as c
-from ..operators.relational import greedy
 
 RULES = ("email", "url", "ipv4", "phone", "ssn")
+#: The least that the rest of an overlapped span must hold.
+REMAINDER_CHARS = 2
+_WORD = r"[\p{L}\p{N}]"
+
+
+def _rest(text: Column, s: Column, taken: Column) -> Column:
+    """What taken spans leave of s: its longest stretch (the first of equals) without cut words or
+    white space at its ends, as struct<start, end, text>."""
+    edges = F.array_sort(F.transform(taken, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
+    gaps = F.zip_with(F.concat(F.array(s["start"]), F.transform(edges, lambda t: t["end"])), F.concat(F.transform(edges, lambda t: t["start"]), F.array(s["end"])), lambda a, b: F.struct((b - a).alias("n"), (-a).alias("at")))
+    # An array of one holds what the next step reads more than once.
+    step = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    alnum = lambda at: F.coalesce(F.substring(text, at, F.lit(1)).rlike(_WORD), F.lit(False))
+
+    def cut_left(g: Column) -> Column:
+        start = -g["at"]
+        surface = F.substring(text, start + 1, F.greatest(g["n"], F.lit(0)))
+        cut = F.when((start > 0) & alnum(start), F.regexp_replace(surface, f"^{_WORD}+", "")).otherwise(surface)
+        return step(cut, lambda x: F.struct((start + F.char_length(surface) - F.char_length(x)).alias("start"), x.alias("x"), alnum(start + g["n"] + 1).alias("joined")))
+
+    def cut_right(g: Column) -> Column:
+        return step(F.when(g["joined"], F.regexp_replace(g["x"], f"{_WORD}+$", "")).otherwise(g["x"]), lambda x: F.struct((g["start"] + F.char_length(x) - F.char_length(F.ltrim(x))).alias("start"), F.trim(x).alias("text")))
+
+    return step(step(step(F.array_max(gaps), cut_left), cut_right), lambda g: F.struct(g["start"].alias("start"), (g["start"] + F.char_length(g["text"])).alias("end"), g["text"].alias("text")))
+
+
+def arbitrate(text: Column, spans: Column) -> Column:
+    """Of an array of spans in order of priority those that hold something unclaimed, cut to it."""
+    touching = lambda taken, s: F.filter(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    one = lambda s, g: F.array(F.struct(g["start"].alias("start"), g["end"].alias("end"), g["text"].alias("text"), s["category"].alias("category"), s["score"].alias("score"), s["detector"].alias("detector")))
+
+    def fold(taken: Column, s: Column) -> Column:
+        none = F.filter(one(s, s), lambda x: F.lit(False))
+        cut = F.filter(F.transform(F.array(_rest(text, s, touching(taken, s))), lambda g: one(s, g)[0]), lambda x: (F.char_length(x["text"]) >= REMAINDER_CHARS) & x["text"].rlike(_WORD))
+        return F.concat(taken, F.when(F.size(touching(taken, s)) == 0, one(s, s)).otherwise(F.coalesce(cut, none)))
+
+    return F.aggregate(spans, F.filter(spans, lambda s: F.lit(False)), fold)
 
 
 def mask_contacts(docs: DataFrame, text: str = "text", rules: tuple[str, ...] = RULES) -> DataFrame:
     """docs with contacts (array of struct<start, end, text, category, score, detector, placeholder>) and masked_text.
 
-    Overlaps go to the higher score, then the longer span, then the earlier rule. Within a document
+    Overlaps go to the higher score, then the longer span, then the earlier rule; the other span keeps
+    its longest free stretch. Within a document
     and category equal texts (letters in any case) share a number, in order of appearance. Null text
     has no contacts and stays null.
     """
@@ -25,7 +62,8 @@ def mask_contacts(docs: DataFrame, text: str = "text", rules: tuple[str, ...] =
     order = F.array(*[F.lit(r) for r in rules])
     keyed = F.transform("_s", lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), F.array_position(order, s["detector"]).alias("c"), s["start"].alias("start"), s["end"].alias("end"), s.alias("s")))
     ranked = found.select(*keep, F.array_sort(keyed).alias("_k"))
-    chosen = ranked.select(*keep, F.array_sort(F.transform(greedy(F.col("_k")), lambda k: k["s"])).alias("_c"))
+    ordered = ranked.select(*keep, F.transform("_k", lambda k: k["s"]).alias("_o"))
+    chosen = ordered.select(*keep, F.array_sort(arbitrate(F.col(text), F.col("_o"))).alias("_c"))
     keys = chosen.select(*keep, "_c", F.array_distinct(F.transform("_c", lambda s: F.struct(s["category"].alias("category"), F.lower(s["text"]).alias("text")))).alias("_d"))
     number = lambda s: F.array_position(F.transform(F.filter("_d", lambda d: d["category"] == s["category"]), lambda d: d["text"]), F.lower(s["text"]))
     named = F.transform("_c", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["category"].alias("category"), s["score"].alias("score"), s["detector"].alias("detector"), F.concat(F.lit("["), s["category"], F.lit("_"), number(s).cast("string"), F.lit("]")).alias("placeholder")))

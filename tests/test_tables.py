@@ -153,7 +153,7 @@ def test_contacts_on_the_jvm(spark, sf):
 
     odd = [(1, "a@b.org, A@B.ORG and c@d.net"), (2, "é😀 10.0.0.1 (617) 555-0123."), (3, None), (4, ""), (5, "see www.x.org/a@b.org now 123-45-6789")]
     got = {r["id"]: r["masked_text"] for r in mask_contacts(spark.createDataFrame(odd, "id int, text string")).collect()}
-    assert got == {1: "[EMAIL_1], [EMAIL_1] and [EMAIL_2]", 2: "é😀 [IP_1] [PHONE_1].", 3: None, 4: "", 5: "see www.x.org/[EMAIL_1] now [SSN_1]"}
+    assert got == {1: "[EMAIL_1], [EMAIL_1] and [EMAIL_2]", 2: "é😀 [IP_1] [PHONE_1].", 3: None, 4: "", 5: "see [URL_1][EMAIL_1] now [SSN_1]"}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     fast = {r["doc_id"]: r["masked_text"] for r in mask_contacts(docs, rules=("email", "ipv4", "phone")).collect()}
     for r in Deidentifier().transform(docs).rows.collect():
