@@ -9,6 +9,12 @@ with AND, OR, WITH and parentheses into postfix order and evaluated into the lab
 WITH keeps its licence, AND and OR join their operands' labels. An expression that doesn't parse
 adds nothing.
 
+Words such as 'licensed under' are in the automaton too. What follows them is prose, so it is read
+into an expression first: articles and words of version or variant are passed over ('the MIT License',
+'CC BY-NC 4.0'), a comma or slash between identifiers counts as OR, and the expression ends before
+anything that isn't an identifier of FAMILIES, is shaped like one with a version ('EUPL-1.2') or names
+an exception. Its labels are those of a further notice.
+
 Score: 1 if a tag's expression parsed, else 0.9 if a base phrase was found, 0.7 if another notice
 was, 0 if nothing was.
 
@@ -47,6 +53,15 @@ NOTICES = {
 TAGS = ("spdx-license-identifier:", "license-expression:")
 #: Licence identifiers begin with these; what follows is the version or variant.
 FAMILIES = ("agpl", "lgpl", "gpl", "apache", "mit", "bsd", "mpl", "epl", "bsl", "cc", "isc", "unlicense", "zlib")
+#: Words before 'under' in a notice that names its licence by an identifier.
+GRANTS = ("licensed", "licenced", "released", "distributed", "published", "available", "provided")
+#: Words passed over in such a notice: before an identifier, and on both sides of one.
+_LEADS = frozenset(("a", "an", "any", "both", "conditions", "either", "gnu", "modified", "new", "of", "revised", "simplified", "terms", "the"))
+_MORE = re.compile(r"v?[0-9][0-9.]*\+?|v|ver|version|licen[cs]es?|[0-9]-clause|clause|only|by(?:-(?:nc|sa|nd))*|nc|sa|nd|zero|international|style|software|public|domain|x11|expat")
+_KNOWN = re.compile("(" + "|".join(FAMILIES) + r")(?:v?[0-9][0-9.]*)?\+?(?:-.*)?")
+_SHAPED = re.compile(r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*-[0-9]+\.[0-9]+(?:\+|-only|-or-later)?|licenseref-.+")
+_OTHER = r"[\x00-/:-@\[-`{-\x7f]"  # what the fold makes a space
+_GRANT = re.compile(rf"(?<![^\x00-/:-@\[-`{{-\x7f])(?:{'|'.join(GRANTS)}){_OTHER}+under(?![^\x00-/:-@\[-`{{-\x7f])")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _LINE_END = re.compile(r"[\r\n]")
 _SMALL = {c: c + 32 for c in range(65, 91)}
@@ -92,6 +107,54 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def prefix(tokens: list[str]) -> list[str]:
+    """The longest beginning of tokens that parses; empty if none does."""
+    valid, depth, operand = 0, 0, False
+    for k, token in enumerate(tokens):
+        if token.lower() in _PRECEDENCE or token == ")":
+            if not operand or token == ")" and not depth:
+                break
+            operand = token == ")"
+        elif operand:
+            break
+        else:
+            operand = token != "("
+        depth += (token == "(") - (token == ")")
+        if operand and not depth:
+            valid = k + 1
+    return tokens[:valid]
+
+
+def noticed(text: str, at: int) -> list[str]:
+    """The tokens of the expression that a notice's prose at this position holds."""
+    out: list[str] = []
+    end = at
+    for m in _TOKEN.finditer(text, at):
+        word = m[0].lower().rstrip(".:-")
+        between, end = text[end : m.start()].strip(), m.end()
+        last = out[-1] if out else "("
+        operand = last not in _PRECEDENCE and last != "("
+        known = _KNOWN.fullmatch(word)
+        if word in _PRECEDENCE:
+            if operand:  # else 'terms and conditions', 'and/or'
+                out.append(word)
+        elif word == "later" and last == "or":
+            out.pop()
+        elif word in ("(", ")"):
+            out.append(word)
+        elif known or _SHAPED.fullmatch(word) or last == "with" and "exception" in word:
+            if operand and between in (",", "/"):
+                out.append("or")
+            elif operand:
+                break
+            out.append(known[1] if known else word)
+        elif not (_MORE.fullmatch(word) or not operand and word in _LEADS):
+            break
+        if m[0][-1] == "." and word not in ("v", "ver") and "(" not in out:
+            break
+    return prefix(out)
+
+
 def family(identifier: str) -> str:
     low = identifier.lower()
     return next((f for f in FAMILIES if low == f or low.startswith(f + "-")), low)
@@ -121,7 +184,7 @@ class Scanner:
     """Both automata; made once for each task."""
 
     def __init__(self) -> None:
-        self.phrases = _automaton({f" {p} ": (p, label, p in BASE) for p, label in (NOTICES | BASE).items()})
+        self.phrases = _automaton({f" {p} ": (p, label, p in BASE) for p, label in (NOTICES | BASE).items()} | {f" {g} under ": (f"{g} under", "", False) for g in GRANTS})
         self.tags = _automaton({t: len(t) for t in TAGS})
 
     def expressions(self, text: str) -> list[set[str]]:
@@ -135,6 +198,11 @@ class Scanner:
                 found.append(evaluate(postfix))
         return found
 
+    def grants(self, text: str) -> list[set[str]]:
+        low = text.translate(_SMALL)
+        found = [noticed(text, m.end()) for m in _GRANT.finditer(low)]
+        return [evaluate(to_postfix(" ".join(tokens))) for tokens in found if tokens]
+
     def scan(self, text: str | None) -> tuple:
         folded = (text or "").encode().translate(_FOLD)
         words = folded.split()
@@ -150,6 +218,8 @@ class Scanner:
                 base.add(label)
             else:
                 other.add(label)
+        if "" in other:
+            other = other.union(*self.grants(text)) - {""}
         tagged = self.expressions(text) if text and b"license" in folded else []
         score = 1.0 if tagged else 0.9 if base else 0.7 if other else 0.0
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base.union(other, *tagged))), score

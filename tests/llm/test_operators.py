@@ -492,6 +492,21 @@ def test_precedence():
     assert licenses.to_postfix("a OR b AND c WITH d") == ["a", "b", "c", "d", "with", "and", "or"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under CC BY-NC 4.0.", "cc"), ("Released under\n# the (MIT OR Apache-2.0) AND BSD-3-Clause, see file", "apache,bsd,mit"), ("dual-licensed under MIT/GPLv3 terms", "gpl,mit"), ("under the terms; distributed under the terms and conditions of the ISC license or EUPL-1.2", "eupl-1.2,isc"),
+    ("licensed under GPL-2.0 WITH Classpath-exception-2.0 OR MIT", "gpl,mit"), ("licensed under pressure", ""), ("Released under the moon. MIT", ""), ("unlicensed under MIT", ""), ("licensed under MIT. Apache is a town", "mit"),
+])
+def test_identifier_notices(text, want):
+    got = licenses.Scanner().scan(text)
+    assert got[5:] == (want, 0.7 if want else 0.0) and got[1] == 0
+
+
+def test_every_licence_line_is_labelled(documents):
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(documents).collect()}
+    lines = {i: t for i, t in texts_of(documents) if re.search(r"(?i)(licensed|released) under", t)}
+    assert lines and all(got[i] for i in lines)
+
+
 # Queries -----------------------------------------------------------------------------------------
 
 
