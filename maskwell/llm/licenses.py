@@ -4,10 +4,12 @@ One automaton holds identifier tags and notice phrases. It runs over the text's
 lower-cased, words joined by single spaces), so a hit is a place where a phrase's words stand
 consecutively, and overlapping hits all count. The three base phrases give the base counts and
 labels; further notices (BSD, Mozilla and others) give labels only. A second automaton finds
-identifier tags in the raw text; the expression behind a tag, up to the end of its line, is parsed
-with AND, OR, WITH and parentheses into postfix order and evaluated into the labels it allows: a
-WITH keeps its licence, AND and OR join their operands' labels. An expression that doesn't parse
-adds nothing.
+identifier tags in the raw text; the expression behind a tag, up to the end of its line or comment
+or the next tag, is parsed with AND, OR, WITH and parentheses into postfix order and evaluated into the
+labels it allows: a WITH keeps its licence, AND and OR join their operands' labels. If other text
+follows the expression, it ends before the first token that can't continue it: its longest beginning
+that parses counts, up to a comma, a sentence's end or a word of prose. If none parses, the tag adds
+nothing.
 
 Words such as 'licensed under' are in the automaton too. What follows them is prose, so it is read
 into an expression first: articles and words of version or variant are passed over ('the MIT License',
@@ -63,7 +65,10 @@ _SHAPED = re.compile(r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*-[0-9]+\.[0-9]+(?:\+|-only|-
 _OTHER = r"[\x00-/:-@\[-`{-\x7f]"  # what the fold makes a space
 _GRANT = re.compile(rf"(?<![^\x00-/:-@\[-`{{-\x7f])(?:{'|'.join(GRANTS)}){_OTHER}+under(?![^\x00-/:-@\[-`{{-\x7f])")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_LINE_END = re.compile(r"[\r\n]")
+#: Ends of lines and of comments.
+_END = re.compile(r"[\r\n]|\*[/)]|-->|-\}|#\}|[%?]>|</")
+#: Words that no tag means as an identifier where its expression runs into prose.
+_PROSE = frozenset("a all an any are as at be by comment field for from header headers identifier in is its later line lines must of on other others our see should tag tags that the these this to your".split())
 _SMALL = {c: c + 32 for c in range(65, 91)}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 #: Bytes of UTF-8 that aren't ASCII letters or digits become spaces; letters become small; others stay.
@@ -125,6 +130,22 @@ def prefix(tokens: list[str]) -> list[str]:
     return tokens[:valid]
 
 
+def declared(line: str) -> list[str]:
+    """The tokens of the expression at the beginning of a line that holds other text behind it."""
+    out: list[str] = []
+    end = 0
+    for m in _TOKEN.finditer(line):
+        token = m[0].rstrip(".:-")
+        if token.lower() in _PROSE or out and (not token or "," in line[end : m.start()] or ";" in line[end : m.start()]):
+            break
+        end = m.end()
+        if token:
+            out.append(token)
+            if m[0][-1] == "." and "(" not in out:
+                break
+    return prefix(out)
+
+
 def noticed(text: str, at: int) -> list[str]:
     """The tokens of the expression that a notice's prose at this position holds."""
     out: list[str] = []
@@ -190,10 +211,11 @@ class Scanner:
     def expressions(self, text: str) -> list[set[str]]:
         low = text.translate(_SMALL)  # as long as the text
         found = []
-        for end, _ in self.tags.iter(low):
-            stop = _LINE_END.search(text, end + 1)
-            line = text[end + 1 : stop.start() if stop else len(text)]
-            postfix = to_postfix(line.rstrip("*/-> \t.;,"))
+        hits = [(end + 1, end + 1 - size) for end, size in self.tags.iter(low)]
+        for (at, _), (_, following) in zip(hits, [*hits[1:], (0, len(text))]):
+            stop = _END.search(text, at, following)
+            line = text[at : stop.start() if stop else following]
+            postfix = to_postfix(line.rstrip("*/-> \t.;,")) or to_postfix(" ".join(declared(line)))
             if postfix is not None:
                 found.append(evaluate(postfix))
         return found

@@ -501,6 +501,14 @@ def test_identifier_notices(text, want):
     assert got[5:] == (want, 0.7 if want else 0.0) and got[1] == 0
 
 
+@pytest.mark.parametrize("text, want", [
+    ("/* SPDX-License-Identifier: MIT */ (function(){ return a or b })", "mit"), ("SPDX-License-Identifier: MIT, Copyright 2020 X", "mit"), ("<!-- SPDX-License-Identifier: MIT --> <html>", "mit"), ("a SPDX-License-Identifier: MIT b SPDX-License-Identifier: (BSD-2-Clause OR ISC) AND see x", "bsd,isc,mit"),
+    ("SPDX-License-Identifier: MIT OR (Apache-2.0 AND", "mit"), ("SPDX-License-Identifier: Apache-2.0. And now words", "apache"), ("SPDX-License-Identifier: GPL-2.0+ or later versions", "gpl"), ("SPDX-License-Identifier: SEE LICENSE IN x", ""), ("SPDX-License-Identifier: (MIT", ""), ('SPDX-License-Identifier: "MIT" OR "EUPL-1.2"', "eupl-1.2,mit"),
+])
+def test_tags_with_text_behind(text, want):
+    assert licenses.Scanner().scan(text)[5:] == (want, 1.0 if want else 0.0)
+
+
 def test_every_licence_line_is_labelled(documents):
     got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(documents).collect()}
     lines = {i: t for i, t in texts_of(documents) if re.search(r"(?i)(licensed|released) under", t)}
