@@ -1,8 +1,8 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans.
 
 Base spans are found in linear time by the contract's patterns (e-mail, IP, card, phone). The semi-CRF
-then reads regions: runs of words that hold a digit, an at sign or a spelled-out one. A region is cut
-into tokens; candidate segments are runs of up to MAX_TOKENS of them. A segment is scored as a whole
+then reads regions: runs of words that hold a digit, an at sign or a spelled-out one, with nothing but
+one white space character or characters that a number may hold between them. A region is cut into tokens; candidate segments are runs of up to MAX_TOKENS of them. A segment is scored as a whole
 for each type by weights over features of the whole span (digit count, grouping, Luhn, octets, domain
 shape, cue words before it and so on), a token outside any entity scores 0. Dynamic programming over
 the region sums and maximises over all ways to cut it, so boundaries and types are chosen jointly; a
@@ -88,12 +88,14 @@ _MAIL = re.compile(r"[A-Za-z0-9._%+-]+(?:@|[(\[]at[)\]])[A-Za-z0-9-]+(?:(?:\.|[(
 _GROUPS = re.compile(r"[0-9]+")
 _DATE = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{2,4})")
 _NUMBERED = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]")
+_BETWEEN = re.compile(r"[ ().\-/]+|[\t\xa0]")
+_LEAD = re.compile(r"[(\[<\"'+:=#*$%&! ]*")
 FEATURES = 40
 
 
 def features(text: str, start: int, end: int, cue: int) -> list[int] | None:
     """Indexes of the features of text[start:end] as one span; None if it can't be an entity."""
-    span = text[start:end]
+    span = re.sub("  +", " ", text[start:end])  # no feature counts blanks
     mail = ("@" in span or "at)" in span or "at]" in span)
     if mail:
         if not _MAIL.fullmatch(span):
@@ -145,6 +147,7 @@ class Lattice:
         at = {e: k for k, e in enumerate(edges)}
         head = _CUE.search(text[max(0, start - 40) : start])
         cue = _CUES.get(head[1].lower(), 0) if head else 0
+        lead = _LEAD.match(text, start, end).end()
         self.edges, self.segments, self.features = edges, [], []
         for e in starts:
             k = at[e]
@@ -154,7 +157,7 @@ class Lattice:
                 stop = edges[j]
                 if stop - e < 4 or not text[stop - 1].isalnum():
                     continue
-                found = features(text, e, stop, cue if k == 0 or text[start:e].strip("([<\"'+:=#*$%&! ") == "" else 0)
+                found = features(text, e, stop, cue if e <= lead else 0)
                 if found:
                     self.segments.append((k, j))
                     self.features.append(found)
@@ -197,12 +200,12 @@ class Lattice:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of words, one white space character apart, that may hold an entity."""
+    """Runs of words that may hold an entity, with only what may stand within one between them."""
     if not _ANY.search(text):
         return
     start = end = None
     for m in _WORD.finditer(text):
-        if end is not None and m.start() == end + 1 and text[end] in " \t\xa0":
+        if end is not None and _BETWEEN.fullmatch(text, end, m.start()):
             end = m.end()
         else:
             if start is not None:

@@ -287,6 +287,26 @@ def test_pii_model_adds(text, want):
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in added] == want
 
 
+@pytest.mark.parametrize("text, want", [("call (415)  555-1234 now", [("phone", "(415)  555-1234")]), ("call 415 - 555 - 1234 now", [("phone", "415 - 555 - 1234")]), ("4111  1111   1111  1111", [("card", "4111  1111   1111  1111")])])
+def test_pii_spaced_numbers(text, want):
+    found = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.decode(text, pii.trained())]
+    assert found == want
+
+
+def test_regions_against_whole_texts():
+    """Candidates of all regions are those of the whole text, and so is the decoding without cues."""
+    rng = random.Random(4)
+    spans = lambda x: [(x.edges[k], x.edges[j], [f for f in found if f <= 28]) for (k, j), found in zip(x.segments, x.features)]
+    for _ in range(1500):
+        text = "".join(rng.choice(["415", "555", "1234", "7", "(", ")", "-", ".", "/", " ", " ", "  ", "\t", "\n", "+", "x", " qz ", "a@b.org", ",", "\xa0", "[at]"]) for _ in range(rng.randint(1, 25)))
+        whole = pii.Lattice(text, 0, len(text))
+        assert [x for start, end in pii.regions(text) for x in spans(pii.Lattice(text, start, end))] == spans(whole), text
+        if whole.segments:
+            _, marginals, cut = whole.solve(whole.scores(pii.trained()))
+            want = [(kind, whole.edges[whole.segments[s][0]], whole.edges[whole.segments[s][1]]) for s, _, kind in cut if marginals[s, kind] >= pii.CONFIDENCE]
+            assert sorted(pii.decode(text, pii.trained())) == sorted(want), text
+
+
 def test_semi_markov_sums_against_enumeration():
     text = "x 555-1234 10.0.0.1 4111"
     lattice = pii.Lattice(text, 2, len(text))
