@@ -47,7 +47,7 @@ def parts(docs: DataFrame) -> DataFrame:
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), common.text_of(docs).alias("text"))
     for name, pattern, group in (("a", ASSIGN, 2), ("c", ACCESS, 0), ("h", HEX, 0), ("i", WEAK_ID, 0), ("t", WEAK_SECRET, 0), ("f", WEAK_FIELD, 0), ("u", ENDPOINT, 0)):
         found = with_spans(found, "text", pattern, name, group)
-    base = ", ".join([_part("a", 0, _SECRET, True, f"x.n >= {ASSIGN_LEAST}"), _part("c", 1, _IDENTIFIER, True), _part("h", 2, _SECRET, False)])
+    base = ", ".join([_part("a", 0, _SECRET, True, f"x.n >= {ASSIGN_LEAST}"), _part("c", 1, _IDENTIFIER, True), _part("h", 2, _SECRET, True)])
     weak = ", ".join([_part("i", 3, _IDENTIFIER, False), _part("t", 4, _SECRET, False, _MIXED), _part("f", 4, _SECRET, False), _part("u", 5, _ENDPOINT, False)])
     return common.materialise(found.select("doc_id", "row", F.expr(f"array_sort(concat({base}))").alias("base"), F.expr(f"array_sort(concat({weak}))").alias("weak")), "parts")
 

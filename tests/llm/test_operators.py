@@ -256,6 +256,14 @@ def test_linking_against_all_pairs(spark):
         assert got[k] == ",".join(w for _, w in sorted(want)), text
 
 
+def test_hex_is_strong(spark):
+    key, far = "0a1b2c3d" * 8, " " * (secrets.SCOPE + 50)
+    rows = [(1, f"client_id=myapp\n{key}"), (2, f"{key} db.example.com:5432"), (3, f"client_id=myapp{far}{key}"), (4, f"pwd=hunter22 {key}"), (5, key)]
+    got = {r["doc_id"]: (r["n_hex"], r["n_linked"], r["spans"]) for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (1, 1), 2: (1, 1), 3: (1, 0), 4: (1, 0), 5: (1, 0)}
+    assert got[1][2] == "identifier:0:15,hex:16:80"
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
