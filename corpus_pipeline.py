@@ -12,7 +12,7 @@ from maskwell.llm import byte_bpe, common, exact_dedup, language_id, mixing, sim
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language."""
+    """Drops documents without a letter (all, if none is labelled); any other text counts as one of the labelled languages."""
     return language_id.drop_unknown(docs)
 
 

@@ -30,8 +30,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 SAMPLE_PER_LANGUAGE, FEATURES, EPOCHS, PENALTY, SHARPNESS, SEED = 400, 4096, 20, 1e-4, 4.0, 11
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
-#: A pipeline stage rejects `und` and scores below this, the least that two even decisions give.
-REJECT_BELOW = 0.25
 #: Families of language codes. A code that none lists is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"),
@@ -176,7 +174,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is known with at least REJECT_BELOW; its own columns only."""
+    """The rows of docs that aren't `und`, whatever their score; its own columns only."""
     labelled = docs.select("doc_id", "text", "lang")
     found = with_language(docs, train(labelled), docs.columns)
-    return found.filter((F.col("_maskwell_lang") != UNKNOWN) & (F.col("_maskwell_score") >= REJECT_BELOW)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(F.col("_maskwell_lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])

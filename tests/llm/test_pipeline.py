@@ -47,6 +47,21 @@ def test_each_stage(steps):
     assert ids(mixed) == Counter({r["doc_id"]: r["copies"] for r in mixing.mix_documents(sparse).collect() if r["copies"]})
 
 
+def test_language_stage_ignores_scores(spark, monkeypatch):
+    """Four families in a cycle: the winner's score is under 0.25, and the text stays."""
+    import numpy as np
+
+    model = language_id.Hierarchy(np.zeros((0, language_id.FEATURES), np.float32), [])
+    row = lambda bias: np.eye(1, language_id.FEATURES + 1, language_id.FEATURES)[0] * bias
+    model.families, model.members = ["a", "b", "c", "d"], {f: ["x", "y"] for f in "abcd"}
+    model.family_rows = np.array([row(b) for b in (-50, 1e-6, 1e-6, 1e-6, -100, 1e-6)])
+    model.lang_rows = {f: np.array([row(1e-6)]) for f in "abcd"}
+    assert 0 < model.predict("a text")[1] < 0.25
+    monkeypatch.setattr(language_id, "train", lambda docs: model)
+    docs = spark.createDataFrame([(1, "a text", "en"), (2, "12 34", "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    assert ids(corpus_pipeline.language_stage(spark, docs, "")) == {1: 1}
+
+
 def test_run(spark, sf, steps):
     got = corpus_pipeline.run(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in steps[0].collect()}
