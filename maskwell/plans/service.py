@@ -26,7 +26,7 @@ def submit(requests: DataFrame, key: bytes, policy: Policy | None = None) -> Sub
     done = Deidentifier(p).transform(requests, "text", "patient_key" if "patient_key" in requests.columns else None)
     rows = done.rows.withColumn("_by", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["category"]))))
     counts = F.map_from_entries(F.transform("_by", lambda c: F.struct(c.alias("k"), F.size(F.filter("spans", lambda s: s["category"] == c)).alias("n"))))
-    found = F.transform(F.slice("findings", 1, 5), lambda f: F.struct(f["category"].alias("category"), f["start"].alias("start"), f["end"].alias("end"), f["detector"].alias("detector")))
+    found = F.transform("findings", lambda f: F.struct(f["category"].alias("category"), f["start"].alias("start"), f["end"].alias("end"), f["detector"].alias("detector")))
     return Submitted(rows.select("session_id", "masked_text", "blocked", counts.alias("counts"), found.alias("findings")), vault.seal(rows.select("session_id", "mapping"), key, p.vault_ttl_seconds))
 
 

@@ -179,6 +179,16 @@ def test_rehydrate_and_vault(spark):
     assert len(vault.load_key("NO_SUCH_VARIABLE")) == 32
 
 
+def test_responses_list_all_findings(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    seven = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct(F.lit("SSN").alias("category"), F.lit("x").alias("text"), i.alias("start"), (i + 1).alias("end"), F.lit("d").alias("detector")))
+    real = service.Deidentifier
+    monkeypatch.setattr(service, "Deidentifier", lambda p: SimpleNamespace(transform=lambda *a: SimpleNamespace(rows=real(p).transform(*a).rows.withColumn("findings", seven))))
+    sent = service.submit(spark.createDataFrame([("s1", "SSN: 219-44-8812")], "session_id string, text string"), bytes(range(32)))
+    assert [f["start"] for f in sent.responses.first()["findings"]] == list(range(1, 8))
+
+
 def test_models_fail_over():
     down = service.Provider("a", lambda: ["m-chat"], lambda m, p: 1 / 0)
     up = service.Provider("b", lambda: ["x-70b-instruct", "y"], lambda m, p: p.upper(), ("70b",))
