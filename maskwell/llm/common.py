@@ -1,20 +1,27 @@
-"""Shared helpers: tables in the cluster's shared folder, row keys and safe column names."""
+"""Shared helpers: tables in the cluster's shared folder, row numbers and safe column names."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
+#: Used only where the session names no spark.checkpoint.dir and its master is this machine, as in tests.
 LOCAL_SHARED_DIR = "file:///tmp/checkpoints"
+#: A group with more rows than this share of them all (and than LARGE_ROWS) meets its rows by broadcast.
+LARGE_ROWS, LARGE_GROUPS = 100_000, 100_000
 
-_written: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -25,17 +32,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskwell-{uuid.uuid4().hex}/{name}"
+    if not _written:
+        atexit.register(_release_all)
+    _written.append((spark, path))
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what materialise() has written; results that still read it must be written by then."""
-    jvm = spark._jvm
+def written() -> int:
+    """A mark for release(): how many tables there are by now."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what materialise() has written since a mark, but for the table that keep reads.
+
+    Results that still read such tables must be written by then. What is never released goes when
+    the process ends.
+    """
+    kept = [] if keep is None else keep.inputFiles()
+    stay = []
+    for session, path in _written[since:]:
+        if any(f"{path.split(':')[-1]}/" in f for f in kept):
+            stay.append((session, path))
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written[since:] = stay
+
+
+def _release_all() -> None:
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop()).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark = _written[-1][0]
+        try:
+            release(spark, len(_written) - 1)
+        except (Py4JError, AttributeError, OSError):  # the session has been stopped
+            return
 
 
 def text_of(docs: DataFrame, column: str = "text") -> Column:
@@ -43,17 +75,50 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
-def row_key(doc_id: Column, text_sha: Column) -> Column:
-    """A key shared only by rows that agree in both doc_id and text; never null."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_sha)
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in (f"{stem}{'_' * k}" for k in range(len(taken) + 1)) if name.lower() not in taken)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells all its rows apart, for good; and the column's name.
+
+    Rows of a file scan are numbered by file (a 64-bit hash of its path) and position, which costs
+    nothing; anything else is written to the shared folder with numbers first.
+    """
+    name = unused(docs, "maskwell_row")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select(*own, place.alias(name)), name
+    place = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return materialise(docs.select(*own, place.alias(name)), "numbered"), name
+
+
+def without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """docs, which numbered() has given the column row, without the rows in dropped (same column), and without that column."""
+    return docs.join(dropped.select(row), row, "left_anti").drop(row)
 
 
-def keep_rows(docs: DataFrame, text_sha: Column, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose row_key is in keys (a column _key), one for each key.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with the columns of their group; groups holds one row a key, and in n how many rows have it.
 
-    docs keeps exactly its own columns. One shuffle of the kept rows; rows that repeat in both
-    doc_id and text come out once.
+    A group that is large goes to its rows by broadcast, so no task gets all of them; there can't be
+    more than LARGE_GROUPS such groups. The rest meet by shuffle.
     """
-    keyed = docs.withColumn("_maskwell_key", row_key(docs["doc_id"], text_sha))
-    kept = keyed.join(keys.select(F.col("_key").alias("_maskwell_key")), "_maskwell_key", "left_semi")
-    return kept.dropDuplicates(["_maskwell_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    bound = max(LARGE_ROWS, total // LARGE_GROUPS)
+    large = F.broadcast(groups.filter(F.col(n) > bound))
+    rest = rows.join(large.select(key), key, "left_anti").join(groups.filter(F.col(n) <= bound), key)
+    return rows.join(large, key).unionByName(rest)
+
+
+def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with rank, from 0, in this order, without sorting all rows in one task."""
+    sorted_rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    parts = sorted_rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.expr("sum(_n) over (order by _part rows between unbounded preceding and 1 preceding)")  # a row for each partition
+    starts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = sorted_rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
+    return placed.withColumn("rank", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).select(*df.columns, "rank")

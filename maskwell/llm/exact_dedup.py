@@ -156,36 +156,41 @@ def resolve(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return _groups(incoming, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(lookup, _RESOLVED)
 
 
-def digest_rows(docs: DataFrame, normalise: Callable[[Column], Column] = lambda text: text) -> DataFrame:
-    """(doc_id, row, digest) of every row, written once; row tells rows with equal ids apart."""
+def digest_rows(docs: DataFrame, normalise: Callable[[Column], Column] = lambda text: text, place: str | None = None) -> DataFrame:
+    """(doc_id, row, place, digest) of every row, written once; row tells rows with equal ids apart, place is a column of docs."""
     text = normalise(common.text_of(docs))
-    return common.materialise(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
+    own = docs[place] if place else F.lit(None).cast("struct<file: bigint, at: bigint>")
+    return common.materialise(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), own.alias("place"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
 
 
-def exact_dedup(docs: DataFrame, normalise: Callable[[Column], Column] = lambda text: text, history: DataFrame | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, in_history for every row of docs.
-
-    history: (digest, doc_id, row) of earlier batches, from digest_rows. By default the older half
-    of the ids of docs (up to the middle between the smallest and the largest) is the history and
-    the other rows are the batch that is looked up; the result is the same for any such cut.
-    """
-    rows = digest_rows(docs, normalise)
+def judged(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """rows (from digest_rows) with what exact_dedup says of them."""
     low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     shards, batch = shards_for(total), rows
     if history is None:
         middle = low + (high - low) // 2 if low is not None else 0
         older = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
         history, batch = rows.filter(older), rows.filter(~older)
-    groups = resolve(batch, build_index(history, shards), shards)
-    joined = rows.join(groups.select("digest", "has_id", "win_id", "win_row", "n", "member"), "digest")
-    return joined.select(
-        "doc_id", F.when(F.col("has_id"), F.col("win_id")).alias("keep_id"), F.col("n").alias("group_size"),
-        ((F.col("row") == F.col("win_row")) & F.col("doc_id").eqNullSafe(F.when(F.col("has_id"), F.col("win_id")))).alias("kept"),
+    groups = common.materialise(resolve(batch, build_index(history, shards), shards), "winners")
+    keep = F.when(F.col("has_id"), F.col("win_id"))
+    return common.join_groups(rows, groups, "digest", "n").select(
+        "doc_id", "place", keep.alias("keep_id"), F.col("n").alias("group_size"), ((F.col("row") == F.col("win_row")) & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history"),
     )
 
 
+def exact_dedup(docs: DataFrame, normalise: Callable[[Column], Column] = lambda text: text, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, in_history for every row of docs.
+
+    history: (digest, doc_id, row) of earlier batches, from digest_rows. By default the older half
+    of the ids of docs (up to the middle between the smallest and the largest) is the history and
+    the other rows are the batch that is looked up; the result is the same for any such cut.
+    """
+    return judged(digest_rows(docs, normalise), history).drop("place")
+
+
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; its own columns only."""
-    kept = exact_dedup(docs).filter("kept").select(common.row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
-    return common.keep_rows(docs, F.sha2(common.text_of(docs), 256), kept)
+    rows, row = common.numbered(docs)
+    dropped = judged(digest_rows(rows, place=row)).filter(~F.col("kept")).select(F.col("place").alias(row))
+    return common.without(rows, row, common.materialise(dropped, "repeats"))

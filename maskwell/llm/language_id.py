@@ -6,8 +6,9 @@ won, between each pair of its languages; most votes win, the sum of margins brea
 is the logistic of the family margin times the mean logistic of the winner's pair margins.
 
 The machines are fitted on the driver over a bounded sample: of each labelled language the documents
-with the smallest hashes, about SAMPLE_PER_LANGUAGE of them and never more. Features of the sample
-are made on executors, so the driver gets 16 kB a document. Prediction reads the whole of each text
+with the smallest hashes, about SAMPLE_PER_LANGUAGE of them and never more, and SAMPLE of all. Features
+of the sample are made on executors, so the driver gets 16 kB a document. Labels beyond the
+MAX_LANGUAGES with most documents (dirty ones, as a rule) are not learned, which bounds the pairs. Prediction reads the whole of each text
 and nothing but the text.
 
 Defined results for odd input: null text and text without a letter get `und` and score 0, as does
@@ -27,7 +28,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 SAMPLE_PER_LANGUAGE, FEATURES, EPOCHS, PENALTY, SHARPNESS, SEED = 400, 4096, 20, 1e-4, 4.0, 11
+#: The languages that are learned, those with most documents first, and the sample of all of them together.
+MAX_LANGUAGES, SAMPLE = 100, 16_000
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 #: Families of language codes. A code that none lists is a family of its own.
@@ -134,25 +139,27 @@ def train(docs: DataFrame) -> Hierarchy:
     """Fits on a bounded sample of the labelled rows that aren't held out."""
     mixed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common_first = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common_first.collect()}
     if not counts:
         return Hierarchy(np.zeros((0, FEATURES), np.float32), [])
-    shares = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(int(min(1.0, 1.2 * SAMPLE_PER_LANGUAGE / n) * (1 << 40))))])
+    size = min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts))
+    shares = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(int(min(1.0, 1.2 * size / n) * (1 << 40))))])
     sample = known.select("lang", mixed.alias("mixed"), F.col("text").cast("string").alias("text")).filter(F.col("mixed") < shares[F.col("lang")])
     # Vectors are made where the texts are; the limit only guards the driver against ids that repeat.
-    rows = sample.mapInArrow(_feature_rows, "lang string, mixed long, x binary").limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).collect()
+    rows = sample.mapInArrow(_feature_rows, "lang string, mixed long, x binary").limit(2 * size * len(counts)).collect()
     by_lang: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["mixed"], r["x"])):
         own = by_lang.setdefault(r["lang"], [])
-        if len(own) < SAMPLE_PER_LANGUAGE:
+        if len(own) < size:
             own.append(np.frombuffer(r["x"], np.float32))
     langs = [lang for lang, own in by_lang.items() for _ in own]
     return Hierarchy(np.array([x for own in by_lang.values() for x in own], np.float32).reshape(-1, FEATURES), langs)
 
 
-def with_language(docs: DataFrame, model: Hierarchy, key: list[str]) -> DataFrame:
-    """The key columns of docs, lang_pred and score, for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few weight rows of 16 kB
+def with_language(docs: DataFrame, model: Hierarchy, key: list[str], lang: str, score: str) -> DataFrame:
+    """The key columns of docs, and what the model says in two columns of these names, for every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES languages, 16 kB a pair
     own = [F.col(f"`{c}`") for c in key]
     rows = docs.select(*own) if "text" in key else docs.select(*own, F.col("text"))
     at = rows.columns.index("text")
@@ -161,20 +168,19 @@ def with_language(docs: DataFrame, model: Hierarchy, key: list[str]) -> DataFram
         for batch in batches:
             found = [sent.value.predict(t.as_py()) for t in batch.column(at)]
             kept = [batch.column(k) for k in range(len(key))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names[: len(key)], "_maskwell_lang", "_maskwell_score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names[: len(key)], lang, score])
 
-    return rows.mapInArrow(run, rows.select(*own).schema.add("_maskwell_lang", "string").add("_maskwell_score", "double"))
+    return rows.mapInArrow(run, rows.select(*own).schema.add(lang, "string").add(score, "double"))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs."""
     labelled = docs.select("doc_id", "text", "lang")
-    found = with_language(labelled, train(labelled), ["doc_id"])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_maskwell_lang").alias("lang_pred"), F.col("_maskwell_score").alias("score"))
+    return with_language(labelled, train(labelled), ["doc_id"], "lang_pred", "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
     """The rows of docs that aren't `und`, whatever their score; its own columns only."""
-    labelled = docs.select("doc_id", "text", "lang")
-    found = with_language(docs, train(labelled), docs.columns)
-    return found.filter(F.col("_maskwell_lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = common.unused(docs, "maskwell_lang"), common.unused(docs, "maskwell_score")
+    found = with_language(docs, train(docs.select("doc_id", "text", "lang")), docs.columns, lang, score)
+    return found.filter(F.col(lang) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
