@@ -2,6 +2,12 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of
 documents. A stage decides over all rows that its predecessor kept.
+
+Defined results for odd input: null text counts as empty, so the first stage drops it, as it drops
+every text if no document is labelled; rows with null ids are kept and come after all others; rows
+that repeat are documents of their own until one of them stays; null sources are one source; an
+empty table stays empty through all stages; columns beside those of documents are carried along,
+whatever their names, but not read.
 """
 
 from __future__ import annotations
@@ -50,9 +56,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.materialise(docs, name)
-    return docs
+    return run_on(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str = "") -> DataFrame:
+    """All stages over docs. Tables that a stage has written on its way go when its result is written."""
+    mark = common.written()
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        common.release(spark, mark, keep=docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
