@@ -74,14 +74,33 @@ def variants(span: Span) -> list[str]:
     return sorted((f for f in found if len(f) >= SURFACE_CHARS), key=lambda f: (-len(f), f))
 
 
+def places_of(surface: str, text: str, low: str) -> list[tuple[int, int]]:
+    """Where a surface stands alone, in either case. low: the text in small letters."""
+    if not (text.isascii() and surface.isascii()):
+        return [m.span() for m in re.finditer(rf"(?<![\w\-]){re.escape(surface)}(?![\w\-])", text, re.I)]
+    needle, found, at = surface.lower(), [], 0
+    while (at := low.find(needle, at)) >= 0:
+        end = at + len(needle)
+        if not (at and _joins(text[at - 1])) and not (end < len(text) and _joins(text[end])):
+            found.append((at, end))
+            at = end
+        else:
+            at += 1
+    return found
+
+
+def _joins(c: str) -> bool:
+    return c.isalnum() or c in "_-"
+
+
 def propagate(text: str, spans: list[Span], policy: Policy) -> list[Span]:
     """More spans where surfaces of spans occur again; a hit in small letters isn't a capitalised name."""
-    claims, places, out = Claims(spans), {}, []
+    claims, places, out, small = Claims(spans), {}, [], text.lower()
     for span in spans:
         for surface in variants(span):
             low = surface.lower()
             if low not in places:
-                places[low] = [m.span() for m in re.finditer(rf"(?<![\w\-]){re.escape(surface)}(?![\w\-])", text, re.I)]
+                places[low] = places_of(surface, text, small)
             for start, end in places[low]:
                 if text[start].islower() and not surface[0].islower() or not claims.free(start, end):
                     continue

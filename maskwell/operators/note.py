@@ -39,8 +39,8 @@ def candidates_of(text: str, policy: Policy) -> tuple[list[Span], list[tuple[int
     return rules.detect(text, segments, bounded_initials=policy.bounded_initials) + fields.detect(fields_of(text, lines), segments), segments
 
 
-def deidentify(text: str | None, policy: Policy, key: str | None = None, extra: Iterable[Span] = ()) -> Result:
-    """extra: spans of a model or another source. Null text counts as empty."""
+def deidentify(text: str | None, policy: Policy, key: str | None = None, extra: Iterable[Span] = (), audit: bool = True) -> Result:
+    """extra: spans of a model or another source. Null text counts as empty. Without audit there are no findings."""
     text = text or ""
     key = key or patient_key(text)
     found, segments = candidates_of(text, policy)
@@ -50,5 +50,5 @@ def deidentify(text: str | None, policy: Policy, key: str | None = None, extra:
     if more:
         spans = merge(text, spans + more, policy)
     masked, entries, shift = rewrite(text, spans, policy, key)
-    findings = scan(masked, entries, policy)
+    findings = scan(masked, entries, policy) if audit else []
     return Result(masked, spans, segments, entries, review_queue(spans, entries, policy), findings, bool(findings) and policy.on_leak == "block", key, shift, len(found))

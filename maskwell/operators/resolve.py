@@ -34,6 +34,17 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def token_set_ratio(a: str, b: str) -> float:
+    """The best of how alike the common words are to each side's words, and both sides to each other."""
+    left, right = set(a.lower().split()), set(b.lower().split())
+    if not left or not right:
+        return 100.0 if left == right else 0.0
+    common = " ".join(sorted(left & right))
+    sides = [" ".join(filter(None, (common, " ".join(sorted(own))))) for own in (left - right, right - left)]
+    pairs = [(sides[0], sides[1])] + [(common, side) for side in sides if common]
+    return max(indel_ratio(x, y) for x, y in pairs)
+
+
 def name_key(text: str) -> str:
     bare = _CREDENTIAL.sub("", _TITLE.sub("", text.strip()))
     bare = _PUNCTUATION.sub(" ", _POSSESSIVE.sub("", bare.strip()))

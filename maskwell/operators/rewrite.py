@@ -14,6 +14,7 @@ from .validate import digits_of
 
 PLACEHOLDER = re.compile(vocab.PLACEHOLDER)
 UNKNOWN = "[UNKNOWN_PLACEHOLDER]"
+# Words for ages over 89, and age labels without an age.
 _OVER_89 = re.compile(r"(?i)\b(?:nonagenarian|centenarian|supercentenarian|in\s+(?:her|his|their)\s+(?:(?:early|mid|late)\s+)?(?:90s|nineties|100s))\b")
 _AGE_LABEL = re.compile(r"(?i)^\W*(?:age|ages|aged|dob|d\.?o\.?b\.?|birth\s*date|date\s*of\s*birth|yrs?|years?|y[./]?o|y\.o\.|old)\W*$")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import groupby
 from typing import NamedTuple
 
 from .. import vocab
@@ -53,9 +54,8 @@ class Rule(NamedTuple):
     #: must be in the lower-cased text.
     needs: re.Pattern | tuple[str, ...] | None = None
 
-    @property
-    def numeric(self) -> bool:
-        return isinstance(self.needs, re.Pattern) and r"\d" in self.needs.pattern
+    #: Categories that the check may put in place of the rule's own.
+    others: frozenset[str] = frozenset()
 
 
 def _line_before(text: str, at: int) -> str:
@@ -110,7 +110,7 @@ def registry(bounded_initials: bool = False) -> tuple[Rule, ...]:
         Rule("url", "URL", 0.97, c(r"\b(?:https?://|ftp://|www\.)[^\s<>\"')\]]+", re.I), needs=c(r"://|[wW]\.")),
         Rule("ipv4", "IP", 0.95, c(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), 0, _whole(v.ip), c(r"\d\.\d")),
         Rule("ipv6", "IP", 0.95, c(r"\b(?:[A-Fa-f0-9]{0,4}:){2,7}[A-Fa-f0-9]{0,4}\b"), 0, _whole(v.ip), c(r":[A-Fa-f0-9]{0,4}:")),
-        Rule("phone", "PHONE", 0.93, c(r"(?:\+?\d{1,2}[-.\s]?)?(?:\(\d{3}\)|\b\d{3})[-.\s]\d{3}[-.\s]\d{4}\b"), 0, _phone, c(r"\d{3}[-.\s]\d{4}")),
+        Rule("phone", "PHONE", 0.93, c(r"(?:\+?\d{1,2}[-.\s]?)?(?:\(\d{3}\)|\b\d{3})[-.\s]\d{3}[-.\s]\d{4}\b"), 0, _phone, c(r"\d{3}[-.\s]\d{4}"), others=frozenset({"FAX"})),
         Rule("phone_ext", "PHONE", 0.70, c(r"(?i)\b(?:ext\.?|extension)\s*\d{1,6}\b|\bx\s*\d{3,6}\b"), needs=digit),
         Rule("ssn", "SSN", 0.96, c(r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b"), 0, _whole(v.ssn), c(r"\d{2}[-\s]?\d{4}")),
         Rule("mrn", "MRN", 0.96, cued(r"mrn|m\.r\.n\.|medical\s+record(?:\s+(?:no\.?|number|#))?|chart\s*(?:no\.?|number|#)?|record\s*#|patient\s+id", r"[:#]?\s*(?P<id>[A-Z0-9][A-Z0-9\-]{3,19})"), "id", _numbered, digit),
@@ -142,11 +142,11 @@ def registry(bounded_initials: bool = False) -> tuple[Rule, ...]:
         Rule("date_dmy", "DATE", 0.97, c(rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({vocab.MONTH})\.?,?\s+(\d{{4}})\b", re.I), 0, lambda t, m: bool(v.month(m[2])) and v.calendar(int(m[3]), v.month(m[2]), int(m[1])), c(r"\s\d{4}")),
         Rule("date_my", "DATE", 0.90, c(rf"\b({vocab.MONTH})\.?\s+(\d{{4}})\b", re.I), 0, lambda t, m: bool(v.month(m[1])) and v.calendar(int(m[2]), v.month(m[1])), c(r"\s\d{4}")),
         Rule("date_md", "DATE", 0.55, c(r"\b(\d{1,2})/(\d{1,2})\b"), 0, _month_day, c(r"\d/\d")),
-        Rule("age_yo", "AGE", 0.90, c(r"(?i)\b(?P<age>\d{1,3})\s*[-\s]?\s*(?:years?|yrs?|y)\s*[-\s]?\s*(?:old|o)\b"), 0, _age, c(r"(?i)\d\s*-?\s*y")),
-        Rule("age_yo_short", "AGE", 0.90, c(r"(?i)\b(?P<age>\d{1,3})\s*y[/.]?o\b"), 0, _age, c(r"(?i)\d\s*y")),
-        Rule("age_cued", "AGE", 0.90, c(r"(?i)\bage[d]?\s*(?:is|of|:|=)?\s*(?P<age>\d{1,3})\b"), 0, _age, ("age",)),
+        Rule("age_yo", "AGE", 0.90, c(r"(?i)\b(?P<age>\d{1,3})\s*[-\s]?\s*(?:years?|yrs?|y)\s*[-\s]?\s*(?:old|o)\b"), 0, _age, c(r"(?i)\d\s*-?\s*y"), others=frozenset({"AGE_OVER_89"})),
+        Rule("age_yo_short", "AGE", 0.90, c(r"(?i)\b(?P<age>\d{1,3})\s*y[/.]?o\b"), 0, _age, c(r"(?i)\d\s*y"), others=frozenset({"AGE_OVER_89"})),
+        Rule("age_cued", "AGE", 0.90, c(r"(?i)\bage[d]?\s*(?:is|of|:|=)?\s*(?P<age>\d{1,3})\b"), 0, _age, ("age",), others=frozenset({"AGE_OVER_89"})),
         Rule("age_over89_word", "AGE_OVER_89", 0.95, c(r"(?i)\b(?:nonagenarian|nonagenarians|centenarian|centenarians|supercentenarian|(?:in\s+(?:his|her|their|the)\s+(?:90s|nineties|late\s+90s)))\b"), needs=("enarian", "90s", "nineties")),
-        Rule("title_name", "NAME_PROVIDER", 0.92, c(rf"\b(?P<title>{vocab.TITLE})\s+(?P<name>{name})"), "name", _title),
+        Rule("title_name", "NAME_PROVIDER", 0.92, c(rf"\b(?P<title>{vocab.TITLE})\s+(?P<name>{name})"), "name", _title, others=frozenset({"NAME_PATIENT"})),
         Rule("name_credential", "NAME_PROVIDER", 0.92, c(rf"\b(?P<name>{name})\s*,\s*(?P<cred>{vocab.CREDENTIAL})(?![A-Za-z])"), "name", lambda t, m: not CREDENTIAL_ONLY.fullmatch(m["name"]), c(r",\s*[A-Z]")),
         Rule(
             "signature_name", "NAME_PROVIDER", 0.93,
@@ -172,31 +172,33 @@ def make_span(text: str, start: int, end: int, category: str, score: float, sour
     return Span(start, start + len(surface), category, surface, score, source, detector, inside(start, starts, segments)) if surface else None
 
 
+@lru_cache(64)
+def gated(bounded_initials: bool, wanted: frozenset[str] | None) -> tuple[tuple[bool, tuple[object, tuple[Rule, ...]]], ...]:
+    """The rules that can emit wanted categories, in order: (needs a digit, (needs, rules that share it)) of neighbours."""
+    rules = [r for r in registry(bounded_initials) if wanted is None or wanted & ({r.category} | r.others)]
+    return tuple((isinstance(needs, re.Pattern) and r"\d" in needs.pattern, (needs, tuple(own))) for needs, own in groupby(rules, key=lambda r: r.needs))
+
+
 def detect(text: str, segments: list[tuple[int, int, str]], categories: Iterable[str] | None = None, bounded_initials: bool = False) -> list[Span]:
     """All rule matches, in registry order; of some categories only, if given."""
     wanted = None if categories is None else frozenset(categories)
     starts, out = [s for s, _, _ in segments], []
-    low, has_digit, seen = text.lower(), bool(_DIGIT.search(text)), {}
-    for rule in registry(bounded_initials):
-        if rule.numeric and not has_digit:
+    low, has_digit, seen = text.lower(), bool(_DIGIT.search(text)), {None: True}
+    for numeric, (needs, rules) in gated(bounded_initials, wanted):
+        if numeric and not has_digit:
             continue
-        if rule.needs:
-            if rule.needs not in seen:
-                seen[rule.needs] = any(w in low for w in rule.needs) if isinstance(rule.needs, tuple) else bool(rule.needs.search(text))
-            if not seen[rule.needs]:
-                continue
-        if wanted is not None and not wanted & ({rule.category} | _OTHER.get(rule.name, frozenset())):
+        if needs not in seen:
+            seen[needs] = any(w in low for w in needs) if isinstance(needs, tuple) else needs.search(text)
+        if not seen[needs]:
             continue
-        for m in rule.pattern.finditer(text):
-            verdict = rule.check(text, m) if rule.check else True
-            if verdict:
+        for rule in rules:
+            for m in rule.pattern.finditer(text):
+                verdict = rule.check(text, m) if rule.check else True
+                if not verdict:
+                    continue
                 category, score, name = (rule.category, rule.score, rule.name) if verdict is True else verdict
                 if wanted is None or category in wanted:
                     span = make_span(text, *m.span(rule.group), category, score, "rules", name or rule.name, starts, segments)
                     if span:
                         out.append(span)
     return out
-
-
-#: Categories that a rule's check may put in place of its own.
-_OTHER = {"phone": frozenset({"FAX"}), "age_yo": frozenset({"AGE_OVER_89"}), "age_yo_short": frozenset({"AGE_OVER_89"}), "age_cued": frozenset({"AGE_OVER_89"}), "title_name": frozenset({"NAME_PATIENT"})}
