@@ -25,24 +25,46 @@ FLAT_RULES = (
 FLAT = {name: (category, score, pattern) for name, category, score, pattern in FLAT_RULES}
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is read: an array of one holds it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def prefix_scan(values: Column, zero: int, merge) -> Column:
+    """array: at each place what merge makes of zero and all values before it.
+
+    In two levels, by chunks of about sqrt(n), as a fold that appends copies what it has: n values
+    cost n * sqrt(n) steps.
+    """
+    scan = lambda a: F.aggregate(a, F.array(F.lit(zero)), lambda s, x: F.concat(s, F.array(merge(F.element_at(s, -1), x))))
+    before = lambda a: F.slice(scan(a), F.lit(1), F.size(a))
+    fold = lambda a: F.aggregate(a, F.lit(zero), merge)
+
+    def cut(v: Column) -> Column:
+        step = F.greatest(F.lit(1), F.sqrt(F.size(v)).cast("int"))
+        return let(step, lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / k).cast("int")), lambda i: F.slice(v, i * k + 1, k)))
+
+    join = lambda chunks: F.flatten(F.zip_with(chunks, before(F.transform(chunks, fold)), lambda c, z: F.transform(before(c), lambda x: merge(z, x))))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), join)).otherwise(F.array().cast("array<int>")))
+
+
+def prefix_sums(values: Column) -> Column:
+    return prefix_scan(values, 0, lambda s, x: s + x)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start int, end int, text string>>: all matches with code point offsets.
 
     What lies between matches comes from a split at the same pattern, so offsets are running lengths.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.char_length(p["g"])
-        end = start + F.coalesce(F.char_length(p["m"]), F.lit(0))
-        out = F.when(p["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("text")))))
-        return F.struct(end.alias("at"), out.alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        lengths = F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(F.char_length(g), F.char_length(m))))
+        return let(prefix_sums(lengths), lambda at: F.transform(found, lambda m, k: F.struct(F.get(at, 2 * k + 1).alias("start"), (F.get(at, 2 * k + 1) + F.char_length(m)).alias("end"), m.alias("text"))))
 
-    run = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, run).otherwise(empty)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty))
 
 
 def flat_spans(text: Column, names=tuple(FLAT)) -> Column:
@@ -171,12 +193,6 @@ def zip_placeholder(value: Column, number: Column, policy: Policy | None = None)
     return F.when((F.char_length(head) < 3) | head.isin(*p.restricted_zip3), F.concat(bare, F.lit("]"))).otherwise(F.concat(bare, F.lit(" = "), head, F.lit("**]")))
 
 
-def age_replacement(years: Column, policy: Policy | None = None) -> Column:
-    """What an age becomes; null leaves it."""
-    p = policy or Policy()
-    return F.when(years >= 90, p.over_89_placeholder).otherwise(None if p.retain_under_90 else "[AGE]")
-
-
 def interval_label(number: Column, day: Column, anchor_number: Column, anchor: Column, widest: int = 730) -> Column:
     gap = F.datediff(day, anchor)
     noted = gap.isNotNull() & (gap != 0) & (F.abs(gap) <= widest)
@@ -184,10 +200,6 @@ def interval_label(number: Column, day: Column, anchor_number: Column, anchor: C
     return F.when(noted, F.format_string("[DATE_%d = DATE_%d %s %dd]", number, anchor_number, sign, F.abs(gap))).otherwise(F.format_string("[DATE_%d]", number))
 
 
-def placeholders(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(vocab.PLACEHOLDER), F.lit(0))
-
-
 def blanked(text: Column) -> Column:
     """text with each placeholder as an equally long run of NUL."""
     found = F.filter(matches(text, vocab.PLACEHOLDER), lambda x: x["text"].isNotNull())

@@ -2,15 +2,19 @@
 
 All state is local to a document, so the whole of detection, arbitration, resolution, rewriting and
 audit runs where the row is, in Arrow batches; order-dependent folds over spans, look-around and
-scoped flags are beyond Spark's expressions. The result is one wide row a document with nested
-arrays; every table that is derived from it (spans, mapping, review queue, findings, counts) is
-DataFrame work. The same plan runs on a stream.
+scoped flags are beyond Spark's expressions. The pass makes the results that are asked for and skips
+the stages that nothing asked for needs; every table that follows from it (spans, mapping, review
+queue, findings, counts) is DataFrame work. The same plan runs on a stream.
+
+Each table of a Deidentified is a pass of its own. Where several are wanted, write the wide rows once:
+
+>>> done = Deidentifier().transform(notes).written(path)  # doctest: +SKIP
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import replace
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,28 +29,37 @@ from ..policy import Policy
 
 #: A source of further spans: texts of a batch in, for each the spans (a model, a dictionary, ...).
 SpanSource = Callable[[list[str]], list[Iterable[Span]]]
+#: A table of at most so many bytes is dealt out over all cores.
+SMALL_BYTES = 256 << 20
+
 
+def nested(rows: list[list[tuple]], kind: pa.DataType) -> pa.Array:
+    """A list of tuples for each row as array<struct>, built by column. Fields that are lists of pairs nest once more."""
+    flat = list(chain.from_iterable(rows))
+    columns = list(zip(*flat)) if flat else [()] * kind.value_type.num_fields
+    fields = [kind.value_type.field(k) for k in range(kind.value_type.num_fields)]
+    arrays = [nested(list(v), f.type) if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type) else pa.array(v, f.type) for f, v in zip(fields, columns)]
+    offsets = pa.array(list(accumulate(map(len, rows), initial=0)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, fields=fields), type=kind)
 
-def _plain(result: note.Result) -> dict:
-    spans = [s._asdict() | {"seq": k} for k, s in enumerate(result.spans)]
-    return {
-        "masked_text": result.masked, "spans": spans, "segments": [{"start": s, "end": e, "kind": k} for s, e, k in result.segments],
-        "mapping": [{"placeholder": e.placeholder, "category": e.category, "canonical": e.canonical, "surfaces": e.surfaces, "offsets": [{"start": s, "end": t} for s, t in e.offsets]} for e in result.entries],
-        "review": [{"start": s.start, "end": s.end, "category": s.category, "text": s.text, "score": s.score, "placeholder": p, "reason": r} for s, p, r in result.review],
-        "findings": [f._asdict() for f in result.findings], "blocked": result.blocked, "patient_key": result.patient_key, "date_shift_days": result.shift, "n_candidates": result.candidates,
-    }
+
+#: What each result column takes from a note's result.
+_OF = {
+    "masked_text": lambda r: r.masked, "spans": lambda r: [(*s, k) for k, s in enumerate(r.spans)], "segments": lambda r: r.segments, "mapping": lambda r: r.entries,
+    "review": lambda r: [(s.start, s.end, s.category, s.text, s.score, p, why) for s, p, why in r.review], "findings": lambda r: r.findings, "blocked": lambda r: r.blocked,
+    "patient_key": lambda r: r.patient_key, "date_shift_days": lambda r: r.shift, "n_candidates": lambda r: r.candidates,
+}
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt out over all cores if they come from fewer files than there are cores.
+    """rows dealt out over all cores if they are small.
 
-    A small table in one row group is one task otherwise. Tables of many files, streams and rows that
-    come from no file are left as they are, so no shuffle is added where the data are large.
+    A small table can be one row group of one file, and so one task. The shuffle that this adds is
+    bounded by SMALL_BYTES; larger tables and streams are read as they are split.
     """
-    if rows.isStreaming:
+    if rows.isStreaming or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
         return rows
-    files, cores = len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 0 < files < cores else rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 class Deidentifier:
@@ -61,40 +74,62 @@ class Deidentifier:
     def transform(self, docs: DataFrame, text: str = "text", key: str | None = None) -> Deidentified:
         """docs with the columns of schema.RESULT. key: a column that names the patient, for date shifts."""
         policy, sources = self.policy, self.sources
-        clash = {c.lower() for c in docs.columns if c != text} & {f.name for f in StructType.fromDDL(schema.RESULT)}
+        clash = {c.lower() for c in docs.columns if c != text} & set(_OF)
         if clash:
             raise ValueError(f"columns of the result are there already: {', '.join(sorted(clash))}")
-        own = [F.col(f"`{c}`") for c in docs.columns if c != text]
-        rows = docs.select(*own, docs[text].cast("string").alias("_text"), (docs[key].cast("string") if key else F.lit(None).cast("string")).alias("_key"))
-        added = StructType.fromDDL(schema.RESULT)
-        arrow = to_arrow_schema(added)
+        ids = [c for c in docs.columns if c != text]
+        rows = docs.select(*[F.col(f"`{c}`") for c in ids], docs[text].cast("string").alias("_text"), (docs[key].cast("string") if key else F.lit(None).cast("string")).alias("_key"))
+
+        def wanted(names: Iterable[str]) -> DataFrame:
+            every = StructType.fromDDL(schema.RESULT)
+            added = StructType([every[n] for n in names])
+            arrow, audit = to_arrow_schema(added), bool({"findings", "blocked"} & set(names))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    texts, keys = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                    extra: list[list[Span]] = [[] for _ in texts]
+                    for source in sources:
+                        for mine, more in zip(extra, source([t or "" for t in texts])):
+                            mine += more
+                    done = [note.deidentify(t, policy, k, e, audit) for t, k, e in zip(texts, keys, extra)]
+                    values = [[_OF[f.name](r) for r in done] for f in arrow]
+                    made = [nested(v, f.type) if pa.types.is_list(f.type) else pa.array(v, f.type) for f, v in zip(arrow, values)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], [*batch.schema.names[:-2], *arrow.names])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, keys = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                extra: list[list[Span]] = [[] for _ in texts]
-                for source in sources:
-                    for mine, more in zip(extra, source([t or "" for t in texts])):
-                        mine += more
-                done = pa.RecordBatch.from_pylist([_plain(note.deidentify(t, policy, k, e)) for t, k, e in zip(texts, keys, extra)], schema=arrow)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *done.columns], [*batch.schema.names[:-2], *arrow.names])
+            return rows.mapInArrow(run, StructType(rows.schema.fields[:-2] + added.fields))
 
-        out = StructType(rows.schema.fields[:-2] + added.fields)
-        return Deidentified(rows.mapInArrow(run, out), [c for c in docs.columns if c != text])
+        return Deidentified(wanted, ids)
 
 
 class Deidentified:
     """The wide result and the tables that follow from it. ids: the documents' own columns."""
 
-    def __init__(self, rows: DataFrame, ids: list[str]):
-        self.rows, self.ids = rows, ids
+    def __init__(self, wanted: Callable[[Iterable[str]], DataFrame], ids: list[str]):
+        self._wanted, self.ids = wanted, ids
+
+    def results(self, *names: str) -> DataFrame:
+        """The documents' own columns and some of schema.RESULT, from one pass that makes no others."""
+        return self._wanted(names)
+
+    @property
+    def rows(self) -> DataFrame:
+        """All results of each document."""
+        return self.results(*_OF)
+
+    def written(self, path: str) -> Deidentified:
+        """The same results, written to a folder that all executors share and read from there."""
+        self.rows.write.mode("errorifexists").parquet(path)
+        spark = self.rows.sparkSession
+        return Deidentified(lambda names: spark.read.schema(self.rows.schema).parquet(path).select(*[F.col(f"`{c}`") for c in (*self.ids, *names)]), self.ids)
 
     def _each(self, array: str) -> DataFrame:
-        return self.rows.select(*self.ids, F.explode(array).alias("x")).select(*self.ids, "x.*")
+        own = [F.col(f"`{c}`") for c in self.ids]
+        return self.results(array).select(*own, F.explode(array).alias("x")).select(*own, "x.*")
 
     @property
     def masked(self) -> DataFrame:
-        return self.rows.select(*self.ids, "masked_text", "blocked")
+        return self.results("masked_text", "blocked")
 
     @property
     def released(self) -> DataFrame:
@@ -126,7 +161,7 @@ class Deidentified:
     def counts(self) -> DataFrame:
         """Spans by category of each document, retained ones too."""
         by = F.transform(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["category"]))), lambda c: F.struct(c.alias("category"), F.size(F.filter("spans", lambda s: s["category"] == c)).cast("long").alias("n")))
-        return self.rows.select(*self.ids, F.map_from_entries(by).alias("counts"))
+        return self.results("spans").select(*[F.col(f"`{c}`") for c in self.ids], F.map_from_entries(by).alias("counts"))
 
     def as_json(self) -> Column:
         """One JSON object a row: masked text, mapping, counts by category, review queue."""
@@ -173,10 +208,6 @@ def rehydrate(responses: DataFrame, mapping: DataFrame, on: list[str], response:
     return joined.mapInArrow(run, StructType([f for f in joined.schema.fields if f.name != "_entries"] + added.fields))
 
 
-def with_policy(deidentifier: Deidentifier, **changes) -> Deidentifier:
-    return Deidentifier(replace(deidentifier.policy, **changes), deidentifier.sources)
-
-
 def category_table(spark, policy: Policy | None = None) -> DataFrame:
     """category, hipaa, action, threshold: 24 rows, the dimension that lookups broadcast."""
     p = policy or Policy()

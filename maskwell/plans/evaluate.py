@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
+from ..functions.columns import blanked, parse_date
+from ..functions.udfs import token_set_ratio
 
 #: The thresholds that a sweep tries.
 GRID = tuple(round(0.05 * k, 2) for k in range(1, 19))
 TOP_MISSED = 40
+#: How far around a percentile a sketch brackets it, as a share of all ranks.
+WIDTH = 1e-3
 
 
 def coarse(label: Column) -> Column:
@@ -19,24 +23,39 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def one_to_one(gold: str, pred: str) -> Column:
-    """struct<tp, fp, fn, exact, uncovered> of two arrays of struct<start, end, label>.
+_SPANS = "array<struct<start:int,end:int,label:string>>"
+
 
-    Each gold span in order takes the first unused prediction of its label that overlaps it.
+def matched(gold: str, pred: str) -> Column:
+    """struct<hits, exact, missed, bare, extra> of two arrays of struct<start, end, label>.
+
+    Each gold span in order takes the first unused prediction of its label that overlaps it. hits are
+    the gold spans that got one, missed those that didn't, bare those that no prediction of any label
+    overlaps, extra the predictions that nobody took; exact counts hits with equal ends.
     """
     touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    numbers = F.sequence(F.lit(0), F.size(pred) - 1)
-    none = F.array().cast("array<int>")
+    plain = lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["label"].alias("label"))
+    numbers = F.when(F.size(pred) > 0, F.sequence(F.lit(0), F.size(pred) - 1)).otherwise(F.array().cast("array<int>"))
+    none, empty = F.array().cast("array<int>"), F.array().cast(_SPANS)
 
     def step(s: Column, g: Column) -> Column:
-        fits = F.filter(F.when(F.size(pred) > 0, numbers).otherwise(none), lambda k: touch(g, F.get(pred, k)) & (F.get(pred, k)["label"] == g["label"]) & ~F.array_contains(s["used"], k))
-        hit = F.get(fits, F.lit(0))
+        fits = F.filter(numbers, lambda k: touch(g, F.get(pred, k)) & (F.get(pred, k)["label"] == g["label"]) & ~F.array_contains(s["used"], k))
+        hit, own = F.get(fits, F.lit(0)), F.array(plain(g))
         same = hit.isNotNull() & (F.get(pred, hit)["start"] == g["start"]) & (F.get(pred, hit)["end"] == g["end"])
         bare = ~F.exists(pred, lambda p: touch(g, p))
-        return F.struct(F.when(hit.isNull(), s["used"]).otherwise(F.concat(s["used"], F.array(hit))).alias("used"), (s["exact"] + same.cast("int")).alias("exact"), (s["uncovered"] + bare.cast("int")).alias("uncovered"))
+        more = lambda name, when: F.when(when, F.concat(s[name], own)).otherwise(s[name]).alias(name)
+        used = F.when(hit.isNull(), s["used"]).otherwise(F.concat(s["used"], F.array(hit))).alias("used")
+        return F.struct(used, (s["exact"] + same.cast("int")).alias("exact"), more("hits", hit.isNotNull()), more("missed", hit.isNull()), more("bare", bare))
+
+    start = F.struct(none.alias("used"), F.lit(0).alias("exact"), empty.alias("hits"), empty.alias("missed"), empty.alias("bare"))
+    extra = lambda s: F.transform(F.filter(numbers, lambda k: ~F.array_contains(s["used"], k)), lambda k: plain(F.get(pred, k)))
+    return F.aggregate(gold, start, step, lambda s: F.struct(s["hits"].alias("hits"), s["exact"].alias("exact"), s["missed"].alias("missed"), s["bare"].alias("bare"), extra(s).alias("extra")))
 
-    start = F.struct(none.alias("used"), F.lit(0).alias("exact"), F.lit(0).alias("uncovered"))
-    return F.aggregate(gold, start, step, lambda s: F.struct(F.size(s["used"]).alias("tp"), (F.size(pred) - F.size(s["used"])).alias("fp"), (F.size(gold) - F.size(s["used"])).alias("fn"), s["exact"].alias("exact"), s["uncovered"].alias("uncovered")))
+
+def one_to_one(gold: str, pred: str) -> Column:
+    """struct<tp, fp, fn, exact, uncovered> of two arrays of struct<start, end, label>."""
+    count = lambda m: F.struct(F.size(m["hits"]).alias("tp"), F.size(m["extra"]).alias("fp"), F.size(m["missed"]).alias("fn"), m["exact"].alias("exact"), F.size(m["bare"]).alias("uncovered"))
+    return F.get(F.transform(F.array(matched(gold, pred)), count), F.lit(0))
 
 
 def report(scores: DataFrame, source: str = "source") -> DataFrame:
@@ -61,13 +80,29 @@ def by_category(rows: DataFrame) -> DataFrame:
 def positional_percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """p50 and p95 as the values at positions n div 2 and floor(0.95 n) of the sorted values.
 
-    The position comes from a window count, so no group is gathered into one array.
+    A sketch with map-side combine first brackets each position to within WIDTH of all ranks; exact
+    counts then place it, so only the rows of the brackets are sorted, and no task gets a whole group.
     """
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count(value).over(Window.partitionBy(*by))
-    at = rows.filter(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", n)
-    pick = lambda position: F.max(F.when(F.col("_k") == position, F.col(value)))
-    return at.groupBy(*by).agg(pick(F.floor(F.col("_n") / 2)).alias("p50"), pick(F.floor(F.col("_n") * F.lit(95) / 100)).alias("p95"))
+    known = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    shares = {"p50": 0.5, "p95": 0.95}
+    ends = [x for p in shares.values() for x in (p - WIDTH, p + WIDTH)]
+    sketch = known.groupBy(*by).agg(F.percentile_approx("_v", ends, int(2 / WIDTH)).alias("_ends"), F.count(F.lit(1)).alias("_n"))
+    place = {"p50": F.floor(F.col("_n") / 2), "p95": F.floor(F.col("_n") * F.lit(95) / 100)}
+    joined = known.alias("a").join(sketch.alias("b"), _same(by)).select(*[F.col(f"a.{c}").alias(c) for c in by], "_v", "_ends", "_n")
+    out = None
+    for k, name in enumerate(shares):
+        low, high = F.col("_ends")[2 * k], F.col("_ends")[2 * k + 1]
+        # How often each value of the bracket occurs, and in one row how many values are below it.
+        counted = joined.filter(F.col("_v") <= high).groupBy(*by, F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first(place[name]).alias("_at"))
+        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
+        one = counted.withColumn("_upto", upto).filter(F.col("_v").isNotNull() & (F.col("_upto") > F.col("_at"))).groupBy(*by).agg(F.min("_v").alias(name))
+        out = one if out is None else out.alias("a").join(one.alias("b"), _same(by)).select("a.*", f"b.{name}")
+    return out
+
+
+def _same(by: list[str]) -> list[Column]:
+    """Equal groups of tables a and b; null is a group."""
+    return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
 
 
 def top_missed(missed: DataFrame, by: str, surface: str, order: str, keep: int = TOP_MISSED) -> DataFrame:
@@ -96,9 +131,11 @@ def choose(swept: DataFrame, floor: float) -> DataFrame:
 
 
 def entity_sets(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """tp, fp, fn of two sets of equal columns: INTERSECT and EXCEPT."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(gold.intersect(pred), "tp").crossJoin(count(pred.subtract(gold), "fp")).crossJoin(count(gold.subtract(pred), "fn"))
+    """tp, fp, fn of two sets of equal columns, in one pass over both."""
+    sides = gold.withColumn("_g", F.lit(1)).withColumn("_p", F.lit(0)).unionByName(pred.withColumn("_g", F.lit(0)).withColumn("_p", F.lit(1)))
+    each = sides.groupBy(*gold.columns).agg(F.max("_g").alias("_g"), F.max("_p").alias("_p"))
+    count = lambda when, name: F.count(F.when(when, 1)).alias(name)
+    return each.agg(count((F.col("_g") == 1) & (F.col("_p") == 1), "tp"), count(F.col("_g") == 0, "fp"), count(F.col("_p") == 0, "fn"))
 
 
 def weakest(categories: DataFrame, keep: int = 3) -> DataFrame:
@@ -124,8 +161,6 @@ def check_intervals(rows: DataFrame, id_: str, mapping: str = "mapping") -> Data
     Both dates are entries of the row's own mapping, so nothing is joined. actual is null where one
     of them isn't a whole date.
     """
-    from ..functions.columns import parse_date
-
     name, noted = r"\[(DATE_[0-9]+)", r"\[(DATE_[0-9]+) = (DATE_[0-9]+) ([+-]) ([0-9]+)d\]"
     marks = rows.select(id_, mapping, F.explode(F.filter(mapping, lambda e: e["placeholder"].rlike(noted))).alias("e"))
     base = F.get(F.filter(mapping, lambda x: F.regexp_extract(x["placeholder"], name, 1) == F.regexp_extract("e.placeholder", noted, 2)), F.lit(0))["canonical"]
@@ -138,6 +173,28 @@ def check_intervals(rows: DataFrame, id_: str, mapping: str = "mapping") -> Data
 
 def residual_dates(masked: Column) -> Column:
     """Numeric dates that are still in a masked text."""
-    from ..functions.columns import blanked
-
     return F.regexp_extract_all(blanked(masked), F.lit(r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b"), F.lit(0))
+
+
+def interval_summary(rows: DataFrame, id_: str, text: str = "masked_text", mapping: str = "mapping") -> DataFrame:
+    """One row: checked, correct and unresolvable interval annotations, and the residual dates of masked notes."""
+    verdicts = check_intervals(rows, id_, mapping).agg(
+        F.count("actual").alias("checked"), F.count(F.when(F.col("annotated") == F.col("actual"), 1)).alias("correct"), F.count(F.when(F.col("actual").isNull(), 1)).alias("unresolvable"),
+        F.lit(0).cast("long").alias("residual"),
+    )
+    zero = [F.lit(0).cast("long").alias(c) for c in ("checked", "correct", "unresolvable")]
+    left = rows.agg(*zero, F.coalesce(F.sum(F.size(residual_dates(F.col(text)))), F.lit(0)).cast("long").alias("residual"))
+    return verdicts.unionByName(left).agg(*[F.sum(c).alias(c) for c in verdicts.columns])
+
+
+#: Answers that say nothing, and how alike two answers must be to agree.
+VACUOUS = r"(?i)^\W*(?:n/?a|none|unknown|not (?:stated|documented|mentioned|specified|available)|i (?:do not|don't) know)?\W*$"
+AGREES = 80.0
+
+
+def qa_agreement(answers: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, pairs, mean_similarity, agreement from rows (original, masked): answers to one question from a
+    note as it was and from its masked form, rehydrated. Pairs that are both vacuous don't count."""
+    said = answers.filter(~(F.coalesce("original", F.lit("")).rlike(VACUOUS) & F.coalesce("masked", F.lit("")).rlike(VACUOUS)))
+    scored = said.withColumn("_s", token_set_ratio(F.coalesce("original", F.lit("")), F.coalesce("masked", F.lit(""))))
+    return scored.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("pairs"), (F.avg("_s") / 100).alias("mean_similarity"), F.avg((F.col("_s") >= AGREES).cast("double")).alias("agreement"))

@@ -95,7 +95,7 @@ def detect_url_pages(spark, sf_dir):
     FROM documents WHERE regexp_matches(text, '\b{_EMAIL}\b')""")
 def mask_contacts(spark, sf_dir):
     """The flagship: masks every document; distinct e-mail placeholders, and whether an address is left."""
-    done = masked(table(spark, sf_dir, "documents").select("doc_id", "text")).rows
+    done = masked(table(spark, sf_dir, "documents").select("doc_id", "text")).results("masked_text", "mapping")
     entries = F.size(F.filter("mapping", lambda e: e["category"] == "EMAIL")).cast("long")
     return done.select("doc_id", entries.alias("n_email"), F.col("masked_text").rlike(_EMAIL).alias("left_over")).filter("n_email > 0")
 
@@ -153,7 +153,7 @@ _LETTERS = "translate(lpad(CAST({k} AS VARCHAR), 5, '0'), '0123456789', 'abcdefg
 def propagate_repeat_synth(spark, sf_dir):
     name = F.concat(F.lit("K"), F.translate(padded("s_suppkey", 5), "0123456789", "abcdefghij"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Mr. "), name, F.lit(" was admitted. "), name, F.lit(" improved.")).alias("text"))
-    r = masked(s).rows
+    r = masked(s).results("masked_text", "mapping")
     return r.select("s_suppkey", "masked_text", F.col("mapping")[0]["canonical"].alias("canonical"), F.size(F.col("mapping")[0]["offsets"]).alias("mentions"))
 
 
@@ -163,7 +163,7 @@ def name_cluster_customer(spark, sf_dir):
     letters = F.translate(padded("c_custkey", 7), "0123456789", "abcdefghij")
     patient, doctor = F.concat(F.lit("K"), letters), F.concat(F.lit("V"), F.reverse(letters))
     text = F.concat(F.lit("Patient Name: "), F.upper(patient), F.lit(", JOHN A    Attending: E. "), doctor, F.lit(", MD\nMr. "), patient, F.lit(" met Dr. "), doctor, F.lit("."))
-    r = masked(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).rows
+    r = masked(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).results("masked_text", "mapping")
     return r.select("c_custkey", "masked_text", F.size("mapping").alias("people"))
 
 
@@ -174,14 +174,14 @@ def field_cues_synth(spark, sf_dir):
     tail = F.substring(k, -4, 4)
     ssn = F.concat(F.lit("123-45-"), padded(F.col("c_custkey") % 8999 + 1000, 4))
     text = F.concat(F.lit("Phone: 617-555-"), tail, F.lit("    Fax: 617-556-"), tail, F.lit("\nDiagnosis: stable    SSN: "), ssn)
-    r = masked(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).rows
+    r = masked(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))).results("masked_text", "spans")
     return r.select("c_custkey", "masked_text", F.size(F.filter("spans", lambda s: s["source"] == "field")).alias("n_field"))
 
 
 @query("SELECT p_partkey, 1 AS n_review, '[ID_GENERIC_1]' AS placeholder, 'score 0.40 in review band [0.2, 0.55) via opaque_id' AS reason FROM part")
 def review_band(spark, sf_dir):
     text = F.concat(F.lit("Tag item ZQ"), padded("p_partkey", 6), F.lit("X noted."))
-    r = masked(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).rows
+    r = masked(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).results("review")
     return r.select("p_partkey", F.size("review").alias("n_review"), F.col("review")[0]["placeholder"].alias("placeholder"), F.col("review")[0]["reason"].alias("reason"))
 
 
@@ -454,7 +454,7 @@ def interval_check(spark, sf_dir):
     day = F.to_date("o_orderdate")
     text = F.concat(F.lit("Admitted "), F.date_format(day, "yyyy-MM-dd"), F.lit(". Surgery "), F.date_format(F.date_add(day, (F.col("o_orderkey") % 30 + 1).cast("int")), "MM/dd/yyyy"), F.lit("."))
     done = masked(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
-    found = ev.check_intervals(done.rows, "o_orderkey")
+    found = ev.check_intervals(done.results("mapping"), "o_orderkey")
     return found.select("o_orderkey", "placeholder", F.col("annotated").cast("long").alias("annotated"), F.col("actual").cast("long").alias("actual"))
 
 
@@ -537,7 +537,7 @@ def mapping_json(spark, sf_dir):
     """The result of a note as JSON and back, with its counts by category."""
     tail = F.substring(padded("c_custkey", 4), -4, 4)
     done = masked(table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Phone: 617-555-"), tail, F.lit("    Fax: 617-556-"), tail).alias("text")))
-    text = done.rows.select("c_custkey", done.as_json().alias("j"), F.to_json("mapping").alias("m"))
+    text = done.results("masked_text", "mapping", "review", "blocked").select("c_custkey", done.as_json().alias("j"), F.to_json("mapping").alias("m"))
     entry_ = vault.entries_of(F.col("m"))[0]
     counts = done.counts.select("c_custkey", F.col("counts")["PHONE"].cast("int").alias("n_phone"))
     return text.select("c_custkey", F.get_json_object("j", "$.masked").alias("masked"), entry_["category"].alias("category"), entry_["canonical"].alias("canonical")).join(counts, "c_custkey")
@@ -563,4 +563,4 @@ def entry(spark: SparkSession) -> DataFrame:
     """Masks all documents of the smallest table."""
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     done = Deidentifier(Policy()).transform(docs)
-    return done.rows.select("doc_id", "masked_text", F.size("spans").alias("n_spans"), F.size("findings").alias("n_findings"), "blocked")
+    return done.results("masked_text", "spans", "findings", "blocked").select("doc_id", "masked_text", F.size("spans").alias("n_spans"), F.size("findings").alias("n_findings"), "blocked")

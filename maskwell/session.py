@@ -1,12 +1,15 @@
-"""Getting the package to where tasks run."""
+"""Getting the package to where tasks run, and the folder that they share."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -25,3 +28,37 @@ def ship(spark: SparkSession) -> None:
                 archive.write(file, file.relative_to(root.parent))
         context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+#: Used only where the session names no spark.checkpoint.dir and its master is this machine, as in tests.
+LOCAL_SHARED_DIR = "file:///tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and every executor can reach."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or LOCAL_SHARED_DIR).rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/maskwell-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_clean)
+    _scratch.append((spark, path))
+    return path
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except (Py4JError, AttributeError, OSError):  # the session has been stopped
+            return

@@ -64,26 +64,30 @@ def _converted(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "error"])
 
 
-def read_notes(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """path, text, read_error of each file. strict: the first unreadable file raises instead.
+def decoded(files: DataFrame, own: list[str] = ()) -> DataFrame:
+    """own, path, text, read_error of files (own, path, content): the suffix of path says how to read content.
 
     Text suffixes and unknown ones without a NUL byte are read as UTF-8 with replacements, on the JVM;
     .docx and .pdf go through Arrow; .doc and other binary files are errors, never partial text.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.select("path", suffix.alias("suffix"), "content")
+    rows = files.select(*own, "path", suffix.alias("suffix"), "content")
     packed = F.col("suffix").isin("docx", "pdf")
     # NUL as the byte pair 00 at an even place of the hexadecimal form.
     head = F.hex(F.substring("content", 1, SNIFFED_BYTES))
     binary = ~F.col("suffix").isin(*TEXT_SUFFIXES) & head.rlike("^(?:..)*?00")
     plain = rows.filter(~packed).select(
-        "path",
+        *own, "path",
         F.when((F.col("suffix") != "doc") & ~binary, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"),
         F.when(F.col("suffix") == "doc", "legacy .doc: convert to .docx or .txt first").when(binary, F.concat(F.lit("binary content and unknown suffix ."), "suffix")).alias("read_error"),
-    )
-    other = rows.filter(packed).select("path", _converted("suffix", "content").alias("c")).select("path", F.col("c.text").alias("text"), F.col("c.error").alias("read_error"))
-    out = plain.unionByName(other)
+    )
+    other = rows.filter(packed).select(*own, "path", _converted("suffix", "content").alias("c")).select(*own, "path", F.col("c.text").alias("text"), F.col("c.error").alias("read_error"))
+    return plain.unionByName(other)
+
+
+def read_notes(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """path, text, read_error of each file. strict: the first unreadable file raises instead."""
+    out = decoded(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
     if strict:
         out = out.withColumn("text", F.when(F.col("read_error").isNull(), F.col("text")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "read_error")).cast("string")))
     return out
@@ -92,3 +96,11 @@ def read_notes(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 def pages(notes: DataFrame, id_: str = "path", text: str = "text") -> DataFrame:
     """id_, page (from 1), text: one row for each page between form feeds."""
     return notes.select(id_, F.posexplode(F.split(text, "\f", -1)).alias("page", "text")).withColumn("page", F.col("page") + 1)
+
+
+def write_pages(notes: DataFrame, folder: str, id_: str = "path", text: str = "text") -> None:
+    """One text file a page under folder/pages/note=.../page=..., and one a note, pages joined by form feeds, under folder/notes."""
+    named = notes.filter(F.col(text).isNotNull()).select(F.regexp_replace(F.regexp_extract(F.col(id_).cast("string"), "([^/]+?)(?:[.][^./]+)?$", 1), "[^A-Za-z0-9_-]", "_").alias("note"), F.col(text).alias("text"))
+    by_page = pages(named, "note")
+    by_page.select("note", F.lpad(F.col("page").cast("string"), 4, "0").alias("page"), F.col("text").alias("value")).write.partitionBy("note", "page").mode("overwrite").option("lineSep", "\n").text(f"{folder}/pages")
+    named.select("note", F.col("text").alias("value")).write.partitionBy("note").mode("overwrite").text(f"{folder}/notes")

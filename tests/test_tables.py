@@ -5,11 +5,12 @@ import random
 import zipfile
 
 import pytest
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from maskwell.functions import columns as c, udfs
-from maskwell.operators import dates, relational as rel, validate
-from maskwell.plans import evaluate as ev, service, vault
+from maskwell import __main__ as cli
+from maskwell.functions import columns as c, layout, udfs
+from maskwell.operators import arbitrate, dates, relational as rel, resolve, structure, tagger, validate
+from maskwell.plans import contacts, evaluate as ev, harness, service, vault
 from maskwell.plans.audit import leak_scan
 from maskwell.plans.deidentify import Deidentifier, category_table, detect_spans
 from maskwell.policy import Policy, load_policy
@@ -179,14 +180,12 @@ def test_rehydrate_and_vault(spark):
     assert len(vault.load_key("NO_SUCH_VARIABLE")) == 32
 
 
-def test_responses_list_all_findings(spark, monkeypatch):
-    from types import SimpleNamespace
-
-    seven = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct(F.lit("SSN").alias("category"), F.lit("x").alias("text"), i.alias("start"), (i + 1).alias("end"), F.lit("d").alias("detector")))
-    real = service.Deidentifier
-    monkeypatch.setattr(service, "Deidentifier", lambda p: SimpleNamespace(transform=lambda *a: SimpleNamespace(rows=real(p).transform(*a).rows.withColumn("findings", seven))))
-    sent = service.submit(spark.createDataFrame([("s1", "SSN: 219-44-8812")], "session_id string, text string"), bytes(range(32)))
-    assert [f["start"] for f in sent.responses.first()["findings"]] == list(range(1, 8))
+def test_responses_list_all_findings(spark):
+    leaky = Policy(thresholds={**Policy().thresholds, "SSN": 2.0, "ID_GENERIC": 2.0})
+    text = " ".join(f"219-44-88{k}2." for k in range(7))
+    sent = service.submit(spark.createDataFrame([("s1", text)], "session_id string, text string"), bytes(range(32)), leaky)
+    assert [f["start"] for f in sent.responses.first()["findings"]] == [13 * k for k in range(7)]
+    assert len(service.logged(sent.responses).first()["findings"]) == 5
 
 
 def test_models_fail_over():
@@ -281,4 +280,164 @@ def test_no_shuffle_in_deidentification(spark, sf):
 def test_runs_window(spark):
     df = spark.createDataFrame([(1, k, x) for k, x in enumerate(["a", "a", None, None, "a"])], "doc int, idx int, kind string")
     assert sorted(rows(rel.runs(df, ["doc"], ["idx"], "kind").select("first", "last", "n"))) == [(0, 1, 2), (2, 3, 2), (4, 4, 1)]
-    assert Window is not None
+
+
+def test_written_once(spark, tmp_path):
+    """Tables of a written result come from its files, without another pass."""
+    docs = spark.createDataFrame([(1, "SSN: 219-44-8812"), (2, None)], "id long, text string")
+    done = Deidentifier().transform(docs).written(str(tmp_path / "wide"))
+    plan = done.mapping._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and rows(done.mapping.select("id", "placeholder")) == [(1, "[SSN_1]")]
+    assert sorted(rows(done.masked)) == sorted(rows(Deidentifier().transform(docs).masked))
+    wanted = Deidentifier().transform(docs).results("mapping")
+    assert wanted.columns == ["id", "mapping"]
+
+
+def test_layout_equals_python(spark):
+    rng = random.Random(3)
+    parts = ["Name: ", "MRN: 7", "\n", "\n\n", "    ", "\t", "|", "signed by: X", "Page 1 of 2", "-----", "Body text that goes on. And on", "A    1", ", MD", "\r\n", "é", "x=1", "FACE SHEET", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["", "\n", "a: b\n" * 30, "a\x0bb\u2028c\x85\x1cd\r\re\x0cf\n\r\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", layout.lines(F.col("t")).alias("l")).select("t", "l", layout.segments(F.col("l")).alias("s"), F.transform("l", lambda x: layout.cells(x["text"])).alias("c"))
+    for r in df.collect():
+        want = structure.lines_of(r["t"])
+        assert [(x["start"], x["end"], x["text"], x["kind"]) for x in r["l"]] == [(x.start, x.end, x.text, x.kind) for x in want], repr(r["t"])
+        assert [(x["start"], x["end"], x["kind"]) for x in r["s"]] == structure.segments_of(want), repr(r["t"])
+        assert [[(x["start"], x["end"]) for x in row] for row in r["c"]] == [structure.cells_of(x.text) for x in want]
+
+
+def test_prefix_scan(spark):
+    rng = random.Random(4)
+    lists = [[rng.randrange(50) for _ in range(n)] for n in (0, 1, 2, 3, 10, 99, 1000)]
+    got = spark.createDataFrame([(v,) for v in lists], "v array<int>").select("v", c.prefix_sums(F.col("v")).alias("s"), c.prefix_scan(F.col("v"), 0, lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for v, sums, most in got:
+        assert sums == [sum(v[:k]) for k in range(len(v))] and most == [max(v[:k], default=0) for k in range(len(v))]
+
+
+def test_contacts_islands_against_one_fold(spark):
+    """Islands leave what a fold over all spans leaves."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["www.a.org/x@b.org", "c@d.org", "617-555-0123", "123-45-6789", "10.0.0.1", "word", "https://e.org/617-555-0123"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    priority = lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("d"))
+    found = df.select("id", "text", c.flat_spans(F.col("text")).alias("s"))
+    whole = F.transform(F.array_sort(F.transform("s", lambda s: F.struct(priority(s).alias("p"), s.alias("s")))), lambda x: x["s"])
+    for r in found.select(contacts.arbitrate(F.col("text"), F.col("s"), priority).alias("a"), F.array_sort(contacts._fold(F.col("text"), whole)).alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_long_contact_lists(spark):
+    """Thousands of contacts in one text."""
+    text = " ".join(f"u{k}@x.org" for k in range(5000))
+    r = contacts.mask_contacts(spark.createDataFrame([(text,)], "text string")).first()
+    assert r["masked_text"] == " ".join(f"[EMAIL_{k + 1}]" for k in range(5000))
+
+
+def test_literal_search_equals_patterns():
+    rng = random.Random(6)
+    import re
+
+    for _ in range(3000):
+        text = "".join(rng.choice(["Ann", "ann", "Anna", "-", " ", "_", "é", "K", "."]) for _ in range(rng.randint(0, 12)))
+        surface = rng.choice(["Ann", "ann k", "K", "Anna-"])
+        assert arbitrate.places_of(surface, text, text.lower()) == [m.span() for m in re.finditer(rf"(?<![\w\-]){re.escape(surface)}(?![\w\-])", text, re.I)]
+
+
+def test_percentiles_by_brackets(spark, monkeypatch):
+    """Exact positions, also in groups that a sketch can't hold, with ties and null groups."""
+    rng = random.Random(7)
+    groups = {"a": [rng.random() for _ in range(30_000)], "b": [rng.randrange(3) / 1 for _ in range(5000)], None: [5.0], "d": [1.0, 2.0], "e": [float(k) for k in range(20)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("f", None)], "g string, v double")
+    got = {r["g"]: (r["p50"], r["p95"]) for r in ev.positional_percentiles(df, ["g"], "v").collect()}
+    assert got == {g: (sorted(vs)[len(vs) // 2], sorted(vs)[int(0.95 * len(vs))]) for g, vs in groups.items()}
+
+
+def test_entity_sets_and_matched(spark):
+    gold_, pred = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, t string"), spark.createDataFrame([(1, "a"), (3, "b"), (3, "b")], "k int, t string")
+    assert tuple(ev.entity_sets(gold_, pred).first()) == (1, 1, 1)
+    kind = "array<struct<start:int,end:int,label:string>>"
+    r = spark.createDataFrame([([(0, 4, "A"), (6, 8, "B")], [(3, 7, "A"), (9, 10, "C")])], f"g {kind}, p {kind}").select(ev.matched("g", "p").alias("m")).first()["m"]
+    assert [tuple(x) for x in r["hits"]] == [(0, 4, "A")] and [tuple(x) for x in r["missed"]] == [(6, 8, "B")] and r["bare"] == [] and [tuple(x) for x in r["extra"]] == [(9, 10, "C")] and r["exact"] == 0
+
+
+def test_harness(spark):
+    done = harness.evaluate(corpus.generate(spark, 60, 30, "test", 5), coarse=True)
+    overall = done.scores.filter("source is null").first()
+    assert overall["notes"] == 90 and overall["recall"] > 0.8 and overall["precision"] > 0.8 and 0 < overall["p50"] <= overall["p95"]
+    text = done.report("Generated")
+    assert all(f"## {t}" in text for t in ("Generated", "Categories", "Weakest", "Missed most often"))
+
+
+def test_tagger():
+    assert list(tagger.windows(0)) == [] and list(tagger.windows(512)) == [(0, 512)] and list(tagger.windows(1000)) == [(0, 512), (384, 896), (768, 1000)]
+    tokens = [(0, 0), (0, 3), (3, 5), (6, 8), (9, 12)]
+    tags = [("B-ORG", 1.0), ("B-ORG", 0.5), ("I-ORG", 1.0), ("I-AGE", 0.25), ("O", 1.0)]
+    assert list(tagger.decode(tokens, tags)) == [(0, 5, "ORG", 0.75), (6, 8, "AGE", 0.25)]
+    model = lambda: (lambda t: [(k, k + 1) for k in range(len(t))], lambda asked: [[("B-ORG" if t[a] == "x" else "B-NOPE" if t[a] == "n" else "B-AGE" if t[a] == "w" else "O", 0.04 if t[a] == "w" else 1 - k / 10) for k, (a, b) in enumerate(tokens)] for t, tokens in asked])
+    found = tagger.Tagger(model, size=4, overlap=2)(["abxnwx", "", "x"])
+    assert [[(s.start, s.end, s.category, s.score) for s in f] for f in found] == [[(2, 3, "ORG", 1.0), (5, 6, "ORG", 0.7)], [], [(0, 1, "ORG", 1.0)]]
+
+
+def test_token_sets():
+    assert resolve.token_set_ratio("on Monday", "monday on") == 100 and resolve.token_set_ratio("two tablets", "two tablets daily") == 100
+    assert resolve.token_set_ratio("", "") == 100 and resolve.token_set_ratio("a", "") == 0 and resolve.token_set_ratio("abc", "xyz") == 0
+
+
+def test_service_statuses(spark, tmp_path):
+    key = bytes(range(32))
+    requests = spark.createDataFrame([("a", "SSN: 219-44-8812", "p1"), ("b", None, None)], "session_id string, text string, patient_key string")
+    sent = service.submit(requests, key, shared=str(tmp_path / "once"))
+    assert {r["session_id"]: (r["status"], r["masked_text"]) for r in sent.responses.collect()} == {"a": ("ok", "SSN: [SSN_1]"), "b": ("ok", "")}
+    assert sent.review.count() == 0 and set(service.STATUS) >= {"ok", "unknown", "expired", "blocked", "unreadable", "unavailable"}
+    records = sent.records.withColumn("expires_at", F.when(F.col("session_id") == "b", F.lit("2001-01-01").cast("timestamp")).otherwise(F.col("expires_at")))
+    assert tuple(service.health(records).first()) == ("ok", 1, 1)
+    assert [r["session_id"] for r in service.forget(records, spark.createDataFrame([("a",)], "session_id string")).collect()] == ["b"]
+    answers = spark.createDataFrame([("a", "[SSN_1]"), ("b", "x"), ("c", "y")], "session_id string, response string")
+    assert {r["session_id"]: r["status"] for r in service.restore(answers, records, key).collect()} == {"a": "ok", "b": "expired", "c": "unknown"}
+
+
+def test_load_key(monkeypatch):
+    import base64
+    import hashlib
+
+    raw = bytes(range(32))
+    for value, want in ((base64.b64encode(raw).decode(), raw), ("k" * 32, hashlib.sha256(base64.b64decode("k" * 32)).digest()), ("not base64!", hashlib.sha256(b"not base64!").digest())):
+        monkeypatch.setenv("MASKWELL_VAULT_KEY", value)
+        assert vault.load_key() == want
+    monkeypatch.delenv("MASKWELL_VAULT_KEY")
+    assert vault.load_key() != vault.load_key()
+
+
+def test_command_line(tmp_path, capsys, monkeypatch):
+    import io
+
+    (tmp_path / "n.txt").write_text("SSN: 219-44-8812")
+    assert cli.main(["--file", str(tmp_path / "n.txt"), "--text", "ignored"]) == 0
+    assert capsys.readouterr().out.startswith("SSN: [SSN_1]\n")
+    assert cli.main(["--text", "MRN: 7719032", "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)["summary"] == {"MRN": 1}
+    monkeypatch.setattr("sys.stdin", io.StringIO("Mail a@b.org"))
+    assert cli.main([]) == 0 and "[EMAIL_1]" in capsys.readouterr().out
+    policy = tmp_path / "p.json"
+    policy.write_text(json.dumps({"policy": {"thresholds": {"SSN": 2.0, "ID_GENERIC": 2.0}}}))
+    assert cli.main(["--text", "SSN 219-44-8812.", "--policy", str(policy)]) == 1
+    with pytest.raises(SystemExit):
+        (tmp_path / "x.bin").write_bytes(b"\0\1")
+        cli.main(["--file", str(tmp_path / "x.bin")])
+
+
+def test_page_files(spark, tmp_path):
+    notes = spark.createDataFrame([("in/a b.pdf", "one\ftwo"), ("in/c.txt", "x"), ("in/d.bin", None)], "path string, text string")
+    files.write_pages(notes, str(tmp_path / "out"))
+    found = {str(f.parent.relative_to(tmp_path / "out")): f.read_text().rstrip("\n") for f in (tmp_path / "out").rglob("part-*")}
+    assert found == {"pages/note=a_b/page=0001": "one", "pages/note=a_b/page=0002": "two", "pages/note=c/page=0001": "x", "notes/note=a_b": "one\ftwo", "notes/note=c": "x"}
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from maskwell import session
+
+    fake = lambda master, **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k.split(".")[1], d)), sparkContext=SimpleNamespace(master=master))
+    assert session.shared_dir(fake("local[4]")) == session.LOCAL_SHARED_DIR and session.shared_dir(fake("spark://x:7077", checkpoint="hdfs:/c/")) == "hdfs:/c"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake("spark://x:7077"))
