@@ -20,6 +20,7 @@ scanned each by itself; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, CONFIDENCE = 24, 0.9
+MAX_TOKENS, MAX_DIGITS, CONFIDENCE = 24, 19, 0.9
 TRAINING, EPOCHS, SEED = 1200, 12, 7
 _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -90,44 +91,54 @@ _DATE = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[
 _NUMBERED = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]")
 _BETWEEN = re.compile(r"[ ().\-/]+|[\t\xa0]")
 _LEAD = re.compile(r"[(\[<\"'+:=#*$%&! ]*")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_ZEROS = {c: "0" for c in range(48, 58)}
+_DIGITS, _MAILED = frozenset("0123456789"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@()[]")
 FEATURES = 40
 
 
+@lru_cache(1 << 16)
+def shape_features(shape: str) -> tuple[int, ...] | None:
+    """What a number's shape (0 for each digit) says; None if it can't be an entity."""
+    if not _NUMBERED.fullmatch(shape):
+        return None
+    groups = _GROUPS.findall(shape)
+    n = sum(map(len, groups))
+    if n < 4 or n > MAX_DIGITS:
+        return None
+    sizes = tuple(map(len, groups))
+    out = [0, 6 if n < 7 else 7 if n < 10 else 8 if n == 10 else 9 if n == 11 else 10 if n < 16 else 11]
+    if shape[0] == "+":
+        out.append(16)
+    if "(" in shape:
+        out.append(17 if re.fullmatch(r"[^(]*\([0-9]{2,4}\)[^()]*", shape) else 18)
+    if sizes[-3:] == (3, 3, 4) and len(sizes) <= 4:
+        out.append(19)
+    if sizes in ((4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3)):
+        out.append(20)
+    out.append(21 if len(groups) == 1 else 22 if len(groups) == 2 else 23)
+    out.append(24 if len(set(shape) - set("0+()")) <= 1 else 25)
+    if _DATE.fullmatch(shape):
+        out.append(26)
+    return tuple(out)
+
+
 def features(text: str, start: int, end: int, cue: int) -> list[int] | None:
     """Indexes of the features of text[start:end] as one span; None if it can't be an entity."""
     span = re.sub("  +", " ", text[start:end])  # no feature counts blanks
-    mail = ("@" in span or "at)" in span or "at]" in span)
-    if mail:
+    if "@" in span or "at)" in span or "at]" in span:
         if not _MAIL.fullmatch(span):
             return None
         out = [0, 1, 2 if span.rpartition(".")[2].isalpha() else 3, 4 if "@" in span else 5]
     else:
-        if not _NUMBERED.fullmatch(span):
-            return None
-        groups = _GROUPS.findall(span)
-        digits = "".join(groups)
-        n = len(digits)
-        if n < 4 or n > 19:
+        found = shape_features(span.translate(_ZEROS))
+        if not found:
             return None
-        sizes = tuple(map(len, groups))
-        out = [0, 6 if n < 7 else 7 if n < 10 else 8 if n == 10 else 9 if n == 11 else 10 if n < 16 else 11]
-        if n >= 16:
-            out.append(12 if luhn(digits) else 13)
-        if span.count(".") == 3 and len(groups) == 4 and "".join(c for c in span if not c.isdigit()) == "...":
-            out.append(14 if all(int(g) <= 255 for g in groups) else 15)
-        if span[0] == "+":
-            out.append(16)
-        if "(" in span:
-            out.append(17 if re.fullmatch(r"[^(]*\([0-9]{2,4}\)[^()]*", span) else 18)
-        if sizes[-3:] == (3, 3, 4) and len(sizes) <= 4:
-            out.append(19)
-        if sizes in ((4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3)):
-            out.append(20)
-        out.append(21 if len(groups) == 1 else 22 if len(groups) == 2 else 23)
-        kinds = {c for c in span if not c.isdigit() and c not in "+()"}
-        out.append(24 if len(kinds) <= 1 else 25)
-        if _DATE.fullmatch(span):
-            out.append(26)
+        out = list(found)
+        if 11 in found:
+            out.append(12 if luhn(_NOT_DIGIT.sub("", span)) else 13)
+        if _DOTTED.fullmatch(span):
+            out.append(14 if all(int(g) <= 255 for g in span.split(".")) else 15)
     before, after = text[start - 1] if start else " ", text[end] if end < len(text) else " "
     if before.isalnum() or before in "._%+-@/":
         out.append(27)
@@ -138,22 +149,36 @@ def features(text: str, start: int, end: int, cue: int) -> list[int] | None:
     return out
 
 
+def _logadd(a: float, b: float) -> float:
+    low, high = (a, b) if a < b else (b, a)
+    return high + math.log1p(math.exp(low - high))
+
+
 class Lattice:
     """The candidate segments of one region, each with its features."""
 
     def __init__(self, text: str, start: int, end: int):
         edges = [start] + [m.end() for m in _TOKEN.finditer(text, start, end)]
-        starts = [e for e in edges[:-1] if not text[e].isspace()]
-        at = {e: k for k, e in enumerate(edges)}
         head = _CUE.search(text[max(0, start - 40) : start])
         cue = _CUES.get(head[1].lower(), 0) if head else 0
         lead = _LEAD.match(text, start, end).end()
+        # Of each token: its digits, and whether it can be within a number and within an address.
+        tokens = [text[a:b] for a, b in zip(edges, edges[1:])]
+        digits = [len(t) if t[0] in _DIGITS else 0 for t in tokens]
+        number = [bool(n) or t[0] in "().-/" or not t.strip(" ") for t, n in zip(tokens, digits)]
+        address = [t[0] in _MAILED for t in tokens]
         self.edges, self.segments, self.features = edges, [], []
-        for e in starts:
-            k = at[e]
-            if not (text[e].isalnum() or text[e] in "+(._%"):
+        for k, e in enumerate(edges[:-1]):
+            first = text[e]
+            if not (first.isalnum() or first in "+(._%"):
                 continue
+            seen, numeric, mailed = 0, digits[k] > 0 or first in "+(", address[k]
             for j in range(k + 1, min(k + MAX_TOKENS, len(edges) - 1) + 1):
+                seen += digits[j - 1]
+                numeric = numeric and seen <= MAX_DIGITS and (j == k + 1 or number[j - 1])
+                mailed = mailed and address[j - 1]
+                if not numeric and not mailed:
+                    break
                 stop = edges[j]
                 if stop - e < 4 or not text[stop - 1].isalnum():
                     continue
@@ -163,7 +188,11 @@ class Lattice:
                     self.features.append(found)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        return np.array([weights[:, f].sum(axis=1) for f in self.features])
+        each: dict[tuple[int, ...], np.ndarray] = {}
+        rows = [tuple(f) for f in self.features]
+        for f in set(rows):
+            each[f] = weights[:, f].sum(axis=1)
+        return np.array([each[f] for f in rows])
 
     def solve(self, scores: np.ndarray) -> tuple[float, np.ndarray, list[tuple[int, int, int]]]:
         """log partition sum, marginals (segments x types), best cut as (start token, end token, type)."""
@@ -172,22 +201,23 @@ class Lattice:
         for s, (k, j) in enumerate(self.segments):
             by_end[j].append(s)
             by_start[k].append(s)
-        total = np.logaddexp.reduce(scores, axis=1) if len(scores) else scores
-        ahead, behind, best, back = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), [None] * (n + 1)
+        total = np.logaddexp.reduce(scores, axis=1).tolist() if len(scores) else []
+        kinds, tops = (scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()) if len(scores) else ([], [])
+        ahead, behind, best, back = [0.0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1), [None] * (n + 1)
         for j in range(1, n + 1):
             ahead[j], best[j] = ahead[j - 1], best[j - 1]
             for s in by_end[j]:
                 k = self.segments[s][0]
-                ahead[j] = np.logaddexp(ahead[j], ahead[k] + total[s])
-                kind = int(scores[s].argmax())
-                if best[k] + scores[s, kind] > best[j]:
-                    best[j], back[j] = best[k] + scores[s, kind], (s, kind)
+                ahead[j] = _logadd(ahead[j], ahead[k] + total[s])
+                if best[k] + tops[s] > best[j]:
+                    best[j], back[j] = best[k] + tops[s], (s, kinds[s])
         for k in range(n - 1, -1, -1):
             behind[k] = behind[k + 1]
             for s in by_start[k]:
-                behind[k] = np.logaddexp(behind[k], total[s] + behind[self.segments[s][1]])
+                behind[k] = _logadd(behind[k], total[s] + behind[self.segments[s][1]])
         z = ahead[n]
-        marginals = np.array([np.exp(ahead[k] + scores[s] + behind[j] - z) for s, (k, j) in enumerate(self.segments)])
+        around = np.array([ahead[k] + behind[j] - z for k, j in self.segments])
+        marginals = np.exp(scores + around[:, None]) if len(scores) else np.zeros((0, len(KINDS)))
         cut, j = [], n
         while j > 0:
             if back[j] is None or best[j] == best[j - 1]:
