@@ -11,23 +11,29 @@ cases, which the likeness estimate corrects: J = (f - 1/256) / (1 - 1/256), held
 standard error is about sqrt(J (1 - J) / 128).
 
 `next_documents` puts each document beside the one that follows in descending doc_id without one
-global sort: ids are cut at sampled boundaries (they only balance the work), each bucket also gets
-the first row of the bucket below, and the last bucket the very first row.
+global sort and with one shuffle of the texts: rows are cut into buckets at sampled boundaries (they
+only balance the work), each bucket also gets the first row of the bucket below, and the last bucket
+the very first row. Boundaries are places in the order of id, text hash and row, so null ids, equal
+ids and rows that repeat split like any others. A bucket has about a quarter of the square root of
+all rows (BUCKET_ROWS at least), and the driver holds 24 bytes a bucket: at 10^10 documents these
+are 25,000 rows and 10 MB.
 
 Defined results for odd input: null text counts as empty; null ids come after all others; rows with
-equal ids order by text hash; a single document follows itself; an empty table gives an empty
+equal ids order by text hash (largest first); a single document follows itself; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
 WORDS, BINS, BITS = 5, 128, 8
-#: Rows a bucket has on average, and the most buckets (the boundaries are held by the driver).
-BUCKET_ROWS, MAX_BUCKETS, SAMPLES_PER_BUCKET = 128, 4096, 16
+#: Rows that a bucket has at least, on average; and the sampled rows that it is measured by.
+BUCKET_ROWS, SAMPLES_PER_BUCKET = 512, 16
 _NO_ID = -(1 << 63)
 
 _SPACE = " \t\n\x0b\f\r"
@@ -72,45 +78,72 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"greatest(0D, (1D - {differ} / {BINS}D - {chance}D) / (1D - {chance}D))")
 
 
-def next_documents(docs: DataFrame, value: list[str]) -> DataFrame:
-    """docs with next_<v> for each v of value: the columns of the row after it by descending doc_id."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"))
-    rows = ids.count()
-    buckets = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-    share = min(1.0, SAMPLES_PER_BUCKET * buckets / max(1, rows))
-    sample = sorted({r["id"] for r in ids.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(4 * SAMPLES_PER_BUCKET * buckets).collect()}) if buckets > 1 else []
-    bounds = sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
+def _numbers(values: list[int]) -> Column:
+    """A literal array of longs; one string, so its size costs no calls."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def boundaries(keys: DataFrame) -> list[tuple[int, int, int]]:
+    """Places in keys (id, tie, uid), all longs, which cut it into buckets of about equal numbers of rows."""
+    rows = keys.count()
+    buckets = rows // max(BUCKET_ROWS, math.isqrt(rows) // 4)
+    if buckets < 2:
+        return []
+    share = min(1.0, SAMPLES_PER_BUCKET * buckets / rows)
+    sample = keys.filter(F.pmod(F.xxhash64("id", "tie", "uid"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    placed = common.ranked(sample, [F.col("id"), F.col("tie"), F.col("uid")])
+    return sorted(tuple(r) for r in placed.filter((F.col("rank") > 0) & (F.col("rank") % SAMPLES_PER_BUCKET == 0)).select("id", "tie", "uid").collect())
+
+
+def next_documents(docs: DataFrame, value: list[str], row: str) -> DataFrame:
+    """docs with next_<v> for each v of value: the columns of the row after it by descending doc_id.
+
+    Rows with equal ids order by the hash of the first value, then by the column row (a long).
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(value[0]).alias("tie"), F.col(row).alias("uid")]
+    keys = common.materialise(docs.select(*key), "keys")
+    bounds = boundaries(keys)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))] or [1]
-    edges = F.lit(bounds or [0]).cast("array<bigint>")
-    bucket_of = F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(edges, at + s - 1) <= F.col("id")), at + s).otherwise(at))
-    tops = {r["bucket"]: r["top"] for r in ids.select("id", bucket_of.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("top")).collect()}
+    edges = [_numbers([b[k] for b in bounds] or [0]) for k in range(3)]
+
+    def reached(at: Column) -> Column:
+        id_, tie, number = (F.get(e, at) for e in edges)
+        return (id_ < F.col("id")) | (id_ == F.col("id")) & ((tie < F.col("tie")) | (tie == F.col("tie")) & (number <= F.col("uid")))
+
+    bucket_of = F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & reached(at + s - 1), at + s).otherwise(at))
+    tops = {r["bucket"]: tuple(r["top"]) for r in keys.groupBy(bucket_of.alias("bucket")).agg(F.max(F.struct("id", "tie", "uid")).alias("top")).collect()}
     filled = sorted(tops)
-    above = dict(zip(filled, [*filled[1:], None])) if filled else {}
-    count = len(bounds) + 1
-    top_of = F.lit([tops.get(b, 0) for b in range(count)]).cast("array<bigint>")
-    above_of = F.lit([-1 if above.get(b) is None else above[b] for b in range(count)])
-    first, last = (max(tops.values()), filled[0]) if filled else (0, 0)
-    placed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    placed = placed.withColumn("bucket", bucket_of)
-    at_top = F.col("id") == F.get(top_of, F.col("bucket"))
+    above = dict(zip(filled, filled[1:]))
+    first, last = (tops[filled[-1]], filled[0]) if filled else ((0, 0, 0), 0)
+    top_of, above_of = [_numbers([tops.get(b, (0, 0, 0))[k] for b in range(len(bounds) + 1)]) for k in range(3)], _numbers([above.get(b, -1) for b in range(len(bounds) + 1)])
+    names = ("id", "tie", "uid")
+    at_top = F.lit(True)
+    is_first = F.lit(True)
+    for k, name in enumerate(names):
+        at_top &= F.col(f"k.{name}") == F.get(top_of[k], F.col("bucket"))
+        is_first &= F.col(f"k.{name}") == F.lit(first[k]).cast("long")
+    placed = docs.select(*own, *key).withColumn("bucket", bucket_of).select(*own, F.struct(*names).alias("k"), "bucket")
+    goes_up = F.get(above_of, F.col("bucket")).cast("int")
     homes = F.filter(
         F.array(
             F.struct(F.col("bucket").alias("b"), F.lit(0).alias("g")),
-            F.when(at_top & (F.get(above_of, F.col("bucket")) >= 0), F.struct(F.get(above_of, F.col("bucket")).alias("b"), F.lit(1).alias("g"))),
-            F.when(F.col("id") == F.lit(first).cast("long"), F.struct(F.lit(last).alias("b"), F.lit(2).alias("g"))),
+            F.when(at_top & (goes_up >= 0), F.struct(goes_up.alias("b"), F.lit(1).alias("g"))),
+            F.when(is_first, F.struct(F.lit(last).alias("b"), F.lit(2).alias("g"))),
         ),
         lambda x: x.isNotNull(),
     )
-    spread = placed.select(*[F.col(c) for c in docs.columns], "id", F.explode(homes).alias("home"))
-    order = Window.partitionBy("home.b").orderBy(F.when(F.col("home.g") == 2, 1).otherwise(0), F.desc("id"), F.xxhash64(value[0]))
-    nexts = spread.select(*[F.col(c) for c in docs.columns], F.col("home.g").alias("g"), *[F.lead(v).over(order).alias(f"next_{v}") for v in value])
+    spread = placed.select(*own, "k", F.explode(homes).alias("home"))
+    order = Window.partitionBy("home.b").orderBy(F.when(F.col("home.g") == 2, 1).otherwise(0), F.desc("k"))
+    nexts = spread.select(*own, F.col("home.g").alias("g"), *[F.lead(v).over(order).alias(f"next_{v}") for v in value])
     return nexts.filter("g = 0").drop("g")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's row for each document: fingerprints of its text and of its edited text."""
-    texts = docs.select(docs["doc_id"].alias("doc_id"), common.text_of(docs).alias("text"))
-    paired = next_documents(with_fingerprint(texts, "text", "fp"), ["text", "fp"])
+    rows, row = common.numbered(docs.select("doc_id", "text"))
+    texts = rows.select("doc_id", common.text_of(rows).alias("text"), F.xxhash64(row).alias("row"))
+    paired = next_documents(with_fingerprint(texts, "text", "fp"), ["text", "fp"], "row")
     sized = paired.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", (F.col("n_chars") - F.pmod("n_chars", F.lit(3))) / 3)
     edited = sized.select("doc_id", "n_chars", "fp", "next_fp", F.expr("concat(substring(text, 1, cast(n_chars - cut as int)), substring(next_text, 1, cast(cut as int)))").alias("edited"))
     done = with_fingerprint(edited, "edited", "edited_fp")
