@@ -8,22 +8,16 @@ import uuid
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Used only where the session names no spark.checkpoint.dir and its master is this machine, as in tests.
-LOCAL_SHARED_DIR = "file:///tmp/checkpoints"
+from ..session import shared_dir
+
 #: A group with more rows than this share of them all (and than LARGE_ROWS) meets its rows by broadcast.
 LARGE_ROWS, LARGE_GROUPS = 100_000, 100_000
+#: Decisions about single rows that are broadcast at most.
+FEW_ROWS = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (named or LOCAL_SHARED_DIR).rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
@@ -81,6 +75,10 @@ def unused(df: DataFrame, stem: str) -> str:
     return next(name for name in (f"{stem}{'_' * k}" for k in range(len(taken) + 1)) if name.lower() not in taken)
 
 
+def _list(values) -> list:
+    return [values.apply(k) for k in range(values.size())]
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column that tells all its rows apart, for good; and the column's name.
 
@@ -89,16 +87,29 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """
     name = unused(docs, "maskwell_row")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() == "Project" and all(x.getClass().getSimpleName() == "AttributeReference" for x in _list(plan.projectList())):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in docs.columns}:
         place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
         return docs.select(*own, place.alias(name)), name
     place = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
     return materialise(docs.select(*own, place.alias(name)), "numbered"), name
 
 
+def meets(docs: DataFrame, row: str, decided: DataFrame, how: str) -> DataFrame:
+    """docs, which numbered() has given the column row, joined to a written table of decisions on that column.
+
+    Decisions go to the texts by broadcast if there are at most FEW_ROWS of them (about 80 bytes
+    each), so no text moves; more meet them by shuffle.
+    """
+    few = decided.count() <= FEW_ROWS
+    return docs.join(F.broadcast(decided) if few else decided.hint("merge"), row, how)
+
+
 def without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
-    """docs, which numbered() has given the column row, without the rows in dropped (same column), and without that column."""
-    return docs.join(dropped.select(row), row, "left_anti").drop(row)
+    """docs without the rows in dropped, and without the column row."""
+    return meets(docs, row, dropped, "left_anti").drop(row)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:

@@ -38,6 +38,8 @@ from . import common
 WEIGHTS, BUDGET, CAP = (5, 2, 1), 1.5, 2
 TOLERANCE, STEPS, MAX_JOBS = 1e-12, 6, 40
 CELL_ROWS, UNIT = 256, 1 << 20
+#: So many sources go to their documents by broadcast (about 100 bytes each), more by shuffle.
+FEW_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -65,10 +67,15 @@ def _tilt(multiplier: str = "multiplier") -> Column:
     return F.exp(F.col(multiplier) * F.col("size") / F.col("mean"))
 
 
-def newton_step(counts: DataFrame, state: DataFrame) -> DataFrame:
+def meet(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """rows with the columns of their source."""
+    return rows.join(F.broadcast(sources) if few else sources.hint("merge"), "source_key")
+
+
+def newton_step(counts: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     """state (source_key, target, mean, low, high, multiplier, residual) after one step over all documents."""
     tilt, mass = _tilt(), F.col("n") * F.col("size")
-    sums = counts.join(state, "source_key").groupBy(*state.columns).agg(
+    sums = meet(counts, state, few).groupBy(*state.columns).agg(
         F.sum(mass * F.least(tilt, F.lit(float(CAP)))).alias("reached"),
         F.sum(F.when(tilt < CAP, mass * tilt * F.col("size") / F.col("mean")).otherwise(0.0)).alias("hessian"),
     )
@@ -88,10 +95,11 @@ def multipliers(counts: DataFrame, sources: DataFrame) -> DataFrame:
     base = sources.filter((F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < CAP * F.col("source_size"))).withColumn("mean", F.col("source_size") / F.col("n"))
     unit = F.col("mean") / F.col("least")
     low, high = F.least(F.lit(-1e-3), 1.001 * F.log(F.col("target") / F.col("source_size")) * unit), F.lit(1.001 * math.log(CAP)) * unit
+    few = sources.count() <= FEW_SOURCES
     state = base.select("source_key", "target", "mean", low.alias("low"), high.alias("high"), F.lit(0.0).alias("multiplier"), F.lit(1e300).alias("residual"))
     for _ in range(MAX_JOBS):
         for _ in range(STEPS):
-            state = newton_step(counts, state)
+            state = newton_step(counts, state, few)
         state = common.materialise(state, "dual")
         # The last residual is the one before the last step, which is quadratic by then.
         worst = state.agg(F.max("residual")).first()[0]
@@ -100,11 +108,11 @@ def multipliers(counts: DataFrame, sources: DataFrame) -> DataFrame:
     raise RuntimeError("the dual did not settle")
 
 
-def solve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sources of rows (source, source_key, size) with their multipliers; and the rows counted by source and size."""
+def solve(rows: DataFrame) -> DataFrame:
+    """The sources of rows (source, source_key, size) with their multipliers."""
     counts = common.materialise(rows.groupBy("source", "source_key", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
     sources = common.materialise(targets(counts), "targets")
-    return common.materialise(multipliers(counts.filter("size > 0").select("source_key", "size", "n"), sources), "solved"), counts
+    return common.materialise(multipliers(counts.filter("size > 0").select("source_key", "size", "n"), sources), "solved")
 
 
 def rate() -> Column:
@@ -115,13 +123,13 @@ def rate() -> Column:
 
 def dealt(rows: DataFrame) -> DataFrame:
     """key (the columns of a row that tell it apart), size, source_size, target, rate, copies for every row."""
-    solved, _ = solve(rows)
+    solved = solve(rows).withColumnRenamed("n", "documents")
     items = rows.groupBy("source_key", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
     # A row that repeats is cut into items of CELL_ROWS rows, which fall into cells of their own.
     items = items.withColumn("part", F.explode(F.expr(f"sequence(0, cast((rows - 1) div {CELL_ROWS} as int))"))).withColumn("rows", F.least(F.lit(CELL_ROWS), F.col("rows") - F.col("part") * CELL_ROWS))
     name = F.concat_ws(":", F.coalesce(F.col("key.doc_id").cast("string"), F.lit("null")), "size", "part")
     mixed = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
-    placed = items.withColumn("mixed", mixed).join(solved.withColumnRenamed("n", "documents"), "source_key").withColumn("units", rate())
+    placed = meet(items.withColumn("mixed", mixed), solved, solved.count() <= FEW_SOURCES).withColumn("units", rate())
     cell = F.pmod("mixed", F.ceil(F.col("documents") / CELL_ROWS))
     item = F.struct((-F.col("size")).alias("order"), "mixed", "key", "part", "size", "rows", "units")
     cells = placed.groupBy("source_key", cell.alias("cell")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
@@ -157,7 +165,8 @@ def take_copies(docs: DataFrame) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns]
     rows, row = common.numbered(docs)
     sizes = size_rows(rows, F.struct(rows["doc_id"].cast("long").alias("doc_id"), rows[row].alias("row")))
-    copies = common.materialise(dealt(sizes).filter("copies > 0").select(F.col("key.row").alias(row), F.col("copies").alias("n")), "copies")
+    # Only what isn't taken once has to meet its text.
     times, copy = common.unused(rows, "maskwell_times"), common.unused(rows, "maskwell_copy")
-    taken = rows.join(copies.withColumnRenamed("n", times), row)
+    other = common.materialise(dealt(sizes).filter("copies <> 1").select(F.col("key.row").alias(row), F.col("copies").alias(times)), "copies")
+    taken = common.meets(rows, row, other, "left").withColumn(times, F.coalesce(F.col(times), F.lit(1).cast("long"))).filter(F.col(times) > 0)
     return taken.select(*own, F.explode(F.expr(f"sequence(1L, {times})")).alias(copy)).select(*own)
