@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -25,7 +26,7 @@ def sha(text):
 def odd(spark):
     """Odd rows, with columns whose names clash with what operators make."""
     rows = spark.createDataFrame(ODD, DOCS)
-    return rows.withColumns({k: F.lit("extra") for k in ("row", "digest", "fp", "keep_id", "key", "ids", "score", "size", "n", "id", "bucket", "home", "spans", "component_id")})
+    return rows.withColumns({k: F.lit("extra") for k in ("row", "digest", "fp", "keep_id", "key", "ids", "score", "size", "n", "id", "bucket", "home", "spans", "component_id", "maskwell_row", "MASKWELL_LANG", "_maskwell_key", "_maskwell_lang", "copies", "target", "rate", "tie", "place", "at", "uid", "maskwell_times")})
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +65,57 @@ def test_stages_keep_columns(name, odd):
         assert sorted(r["doc_id"] or 0 for r in got.collect()) == [-7, 0, 3, 3, 4, 5]
 
 
+def test_odd_values(odd):
+    """What null, empty and repeated rows get."""
+    rows = {name: defaultdict(list) for name in OPERATORS}
+    for name, operator in OPERATORS.items():
+        for r in operator(odd).collect():
+            rows[name][r["doc_id"]].append(r.asDict())
+    for i in (1, 2):
+        one = {name: rows[name][i][0] for name in OPERATORS}
+        assert (one["exact_dedup"]["keep_id"], one["exact_dedup"]["group_size"], one["exact_dedup"]["text_sha256"]) == (2, 2, sha(""))
+        assert (one["language"]["lang_pred"], one["language"]["score"]) == ("und", 0.0)
+        assert (one["fingerprints"]["n_chars"], one["fingerprints"]["edited_sha256"], one["fingerprints"]["near_edited"]) == (0, sha(""), 1.0)
+        assert one["secrets"]["base_sha256"] == one["pii"]["base_sha256"] == sha("") and one["secrets"]["spans"] == one["pii"]["spans"] == ""
+        assert (one["mixing"]["size"], one["mixing"]["taken"]) == (0, 0)
+        assert (one["bpe"]["n_tokens"], one["bpe"]["ids_sha256"], one["bpe"]["decoded_sha256"]) == (0, sha(""), sha(""))
+        assert (one["simhash"]["fingerprint"], one["simhash"]["component_id"]) == ("0" * 16, 1)
+        assert [one["licenses"][k] for k in ("n_words", "n_base", "first_word", "last_word", "labels", "score", "choices", "required")] == [0, 0, None, None, "", 0.0, "", ""]
+    assert rows["fingerprints"][1][0]["fingerprint"] == rows["fingerprints"][2][0]["fingerprint"]
+    assert (rows["language"][6][0]["lang_pred"], rows["language"][6][0]["score"]) == ("und", 0.0)
+    assert rows["simhash"][None][0]["component_id"] is None and rows["exact_dedup"][None][0]["keep_id"] is None and not rows["language"][None][0]["held_out"]
+    for name in OPERATORS:  # rows that repeat
+        a, b = rows[name][3]
+        free = {"kept", "copies", "taken", "near_next", "edited_sha256", "edited_fingerprint", "near_edited"}
+        assert {k: v for k, v in a.items() if k not in free} == {k: v for k, v in b.items() if k not in free}, name
+    assert [r["kept"] for r in rows["exact_dedup"][3]].count(True) == 1
+    assert rows["simhash"][3][0]["component_id"] == -7
+
+
+LONG = {1: " ".join(f"word{k}" for k in range(150_000)), 2: "a" * 300_000, 3: "é" * 400_000, 4: " " * 1_000_000, 5: "token = abcdefgh1 mail me@x.org " * 30_000, 6: "1 " * 300_000}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_very_long_texts(name, spark):
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in LONG.items()], DOCS).repartition(4)
+    got = {r["doc_id"]: r for r in OPERATORS[name](docs).collect()}
+    assert set(got) == set(LONG)
+    if name == "secrets":
+        assert got[5]["n_assign"] == 30_000 and got[2]["n_assign"] == 0
+    if name == "pii":
+        assert got[5]["n_email"] == 30_000
+    if name == "mixing":
+        assert {k: r["size"] for k, r in got.items()} == {1: 150_000, 2: 1, 3: 1, 4: 0, 5: 150_000, 6: 300_000}
+    if name == "bpe":
+        assert all(got[k]["decoded_sha256"] == sha(t) for k, t in LONG.items())
+    if name == "simhash":
+        assert got[1]["fingerprint"] == f"{simhash.fingerprint(LONG[1]):016x}"
+    if name == "licenses":
+        assert got[1]["n_words"] == 150_000
+    if name == "fingerprints":
+        assert got[3]["n_chars"] == 400_000 and got[3]["near_edited"] < 0.2
+
+
 # 1 -----------------------------------------------------------------------------------------------
 
 
@@ -124,6 +176,62 @@ def test_language_hierarchy():
     assert empty.predict("text") == ("und", 0.0)
 
 
+def exact_svm(x, y, weight, penalty):
+    """Dual coordinate descent to the optimum of penalty / 2 |w|^2 + mean(weight * hinge)."""
+    n = len(x)
+    bound, alpha, w, square = weight / (penalty * n), np.zeros(n), np.zeros(x.shape[1]), (x * x).sum(axis=1)
+    for _ in range(300):
+        for i in range(n):
+            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / square[i], 0), bound[i])
+            w += (new - alpha[i]) * y[i] * x[i]
+            alpha[i] = new
+    return w
+
+
+def test_language_machines_against_an_exact_solver(documents):
+    rows = [(language_id.features(r["text"]), r["lang"]) for r in documents.filter("lang in ('en', 'de', 'fr', 'es')").collect()]
+    rows = [(x, lang) for x, lang in rows if x is not None]
+    for a, b in (("en", "de"), ("fr", "es")):
+        own = [(x, lang == a) for x, lang in rows if lang in (a, b)]
+        x, positive = np.array([x for x, _ in own[:60]]), np.array([p for _, p in own[:60]])
+        got = language_id.fit_svm(x, positive)
+        full, y = np.hstack([x, np.full((len(x), 1), 0.2)]), np.where(positive, 1.0, -1.0)
+        weight = np.where(positive, len(x) / 2 / positive.sum(), len(x) / 2 / (~positive).sum())
+        want = exact_svm(full, y, weight, language_id.PENALTY)
+        loss = lambda w: language_id.PENALTY / 2 * (w @ w) + np.mean(weight * np.maximum(0, 1 - y * (full @ w)))
+        assert loss(got) < loss(want) + 0.02
+        test = np.hstack([np.array([x for x, _ in own]), np.full((len(own), 1), 0.2)])
+        assert np.mean((test @ got > 0) == (test @ want > 0)) > 0.98
+
+
+def test_language_votes_against_a_loop():
+    """Most votes win, then the sum of margins; the score averages the winner's logistics."""
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c", "d"]
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    for _ in range(200):
+        rows, x = rng.normal(size=(6, language_id.FEATURES + 1)) * 0.05, rng.normal(size=language_id.FEATURES).astype(np.float32)
+        margin = {}
+        for (i, j), row in zip(pairs, rows):
+            margin[i, j] = float(row[:-1] @ x + 0.2 * row[-1])
+            margin[j, i] = -margin[i, j]
+        standing = [(sum(margin[i, j] > 0 for j in range(4) if j != i), sum(margin[i, j] for j in range(4) if j != i)) for i in range(4)]
+        best = max(range(4), key=lambda i: standing[i])
+        name, score = language_id.Hierarchy._vote(rows, names, x)
+        assert name == names[best]
+        assert score == pytest.approx(np.mean([1 / (1 + np.exp(-language_id.SHARPNESS * np.clip(margin[best, j], -50, 50))) for j in range(4) if j != best]))
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    """Labels beyond the most common ones are not learned, and the sample is bounded over all of them."""
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    monkeypatch.setattr(language_id, "SAMPLE", 12)
+    rows = [(k, f"word{chr(97 + k % 5)} text", f"l{min(k % 7, 5)}") for k in range(200)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = sum(model.members.values(), [])
+    assert len(learned) == 3 and "l5" in learned  # twice as common as the others
+
+
 # 3 -----------------------------------------------------------------------------------------------
 
 TURNS = [(1, 0, "system", "s"), (1, 1, "user", "</s>[INST] <\\s> \\[/INST]"), (1, 2, "user", "[NEXT][\\NEXT]"), (1, 3, "assistant", None), (1, 4, "assistant", "é😀<"), (1, 5, "user", "[INST"), (2, 0, None, ""), (None, 7, "assistant", "x"), (2, 0, "assistant", "tie"), (3, 1, "a]b</s>", "q")]
@@ -185,13 +293,43 @@ def test_fingerprints_against_sets(documents):
     assert np.sqrt(np.mean(np.square(errors))) < 0.05 and abs(np.mean(errors)) < 0.01
 
 
-def test_next_documents_over_many_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("ids", [random.Random(1).sample(range(-500, 5000), 200), [None] * 60 + [3] * 60 + list(range(40)), [7] * 150])
+def test_next_documents_over_many_buckets(spark, monkeypatch, ids):
+    """Null ids, equal ids and rows that repeat are cut like any others."""
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 3)
-    ids = random.Random(1).sample(range(-500, 5000), 200)
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in fingerprints.next_documents(df, ["text"]).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {i: f"t{j}" for i, j in zip(order, order[1:] + order[:1])}
+    rows = [(i, f"t{k % 90}") for k, i in enumerate(ids)]
+    df, row = common.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    df = df.withColumn("row", F.xxhash64(row)).drop(row)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (-(1 << 63) if x[0] is None else x[0], hashes[x[1]]), reverse=True)
+    got = Counter((r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.next_documents(df, ["text"], "row").collect())
+    assert got == Counter((*a, b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    keys = df.select(F.coalesce("doc_id", F.lit(fingerprints._NO_ID)).alias("id"), F.xxhash64("text").alias("tie"), F.col("row").alias("uid"))
+    assert len(fingerprints.boundaries(keys)) > 5
+
+
+def plain_fingerprint(spark, text):
+    """Bins, probes and packing by a loop; hashes come from the engine."""
+    words = re.split("[ \t-\r]+", text.strip(" \t\n\x0b\f\r"))
+    shingles = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    rows = spark.createDataFrame([(*s, *[None] * (5 - len(s))) for s in set(shingles)], "a string, b string, c string, d string, e string")
+    least = {}
+    for r in rows.select(F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect():
+        k = (r["h"] % (1 << 64) >> 57) ^ 64  # signed order
+        least[k] = min(r["h"], least.get(k, r["h"]))
+    bins = {}
+    probes = spark.range(128).select(F.expr("cast(id as int) as i"), F.expr("transform(sequence(1, 64), t -> cast(pmod(xxhash64(cast(id as int), t), 128) as int)) as p"), F.expr("cast(pmod(xxhash64(cast(id as int), -1), 64) * 2 as int) as m"), F.expr("cast(pmod(xxhash64(cast(id as int), -2), 128) as int) as b")).collect()
+    for r in probes:
+        path = [r["i"], *r["p"], *[(r["m"] * t + t + r["b"]) % 128 for t in range(128)]]
+        bins[r["i"]] = least[next(j for j in path if j in least)]
+    low = spark.createDataFrame(sorted(bins.items()), "i int, v long").select("i", F.expr("xxhash64(v, i) & 255 as b")).orderBy("i").collect()
+    return "".join(f"{r['b']:02x}" for r in low)
+
+
+def test_fingerprints_against_a_loop(spark, documents):
+    texts = [t for _, t in texts_of(documents.limit(4))] + ["", "one", "a b c d e f", "x y " * 300]
+    got = fingerprints.with_fingerprint(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), "text", "fp").select("k", fingerprints.as_hex(F.col("fp")).alias("f")).collect()
+    assert {r["k"]: r["f"] for r in got} == {k: plain_fingerprint(spark, t) for k, t in enumerate(texts)}
 
 
 def test_unrelated_short_texts_are_unlike(spark):
@@ -315,6 +453,26 @@ def test_regions_against_whole_texts():
             assert sorted(pii.decode(text, pii.trained())) == sorted(want), text
 
 
+def test_pii_quality():
+    """Exact spans of generated lines that the model has not seen."""
+    rng, hit, extra, missed, plain = random.Random(99), 0, 0, 0, 0
+    for _ in range(2000):
+        text, gold = pii._generated(rng)
+        base, added = pii.scan(text, pii.trained())
+        got, want = set(base + added), {gold} if gold else set()
+        hit, extra, missed, plain = hit + len(got & want), extra + len(got - want), missed + len(want - got), plain + len(want & set(base))
+    assert hit / (hit + extra) > 0.95 and hit / (hit + missed) > 0.95 > 0.65 > plain / (hit + missed)
+
+
+def test_pii_long_numbers():
+    """A table of numbers is one region; its time grows with its length."""
+    rng = random.Random(2)
+    text = " ".join(str(rng.randint(0, 10 ** rng.randint(1, 9))) for _ in range(40_000))
+    began = time.perf_counter()
+    pii.scan(text, pii.trained())
+    assert time.perf_counter() - began < 20
+
+
 def test_semi_markov_sums_against_enumeration():
     text = "x 555-1234 10.0.0.1 4111"
     lattice = pii.Lattice(text, 2, len(text))
@@ -553,11 +711,54 @@ def test_licenses_against_word_lists(spark, documents):
 
 
 @pytest.mark.parametrize("expression, want", [
-    ("MIT", {"mit"}), ("(MIT OR Apache-2.0) AND BSD-3-Clause", {"mit", "apache", "bsd"}), ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl"}), ("LGPL-2.1+ or custom-x", {"lgpl", "custom-x"}), ("MIT OR", None), ("(MIT", None), ("MIT)", None), ("MIT Apache", None), ("", None), ("AND MIT", None), ("()", None),
+    ("MIT", {"mit"}), ("(MIT OR Apache-2.0) AND BSD-3-Clause", {"mit", "apache", "bsd"}), ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl"}), ("LGPL-2.1+ or custom-x", {"lgpl", "custom-x"}), ("MIT OR", None), ("(MIT", None), ("MIT)", None), ("MIT Apache", None), ("", None), ("AND MIT", None), ("()", None), ("GPL-2.0 WITH (MIT)", None), ("WITH MIT", None),
 ])
 def test_shunting_yard(expression, want):
     postfix = licenses.to_postfix(expression)
-    assert (None if postfix is None else licenses.evaluate(postfix)) == want
+    assert (None if postfix is None else set(licenses.evaluate(postfix).labels)) == want
+
+
+@pytest.mark.parametrize("expression, choices, required", [
+    ("MIT OR GPL-2.0", "gpl|mit", ""), ("MIT AND GPL-2.0", "gpl+mit", "gpl,mit"), ("MIT OR Apache-2.0 AND BSD-3-Clause", "apache+bsd|mit", ""), ("(MIT OR Apache-2.0) AND BSD-3-Clause", "apache+bsd|bsd+mit", "bsd"),
+    ("MIT OR (MIT AND ISC)", "mit", "mit"), ("GPL-2.0 WITH Classpath-exception-2.0 AND MIT", "gpl+mit", "gpl,mit"), ("MIT", "mit", "mit"), ("the", "", ""),
+])
+def test_choices(expression, choices, required):
+    got = licenses.Scanner().scan(f"License-Expression: {expression}\ntext")
+    assert got[7:] == (choices, required)
+
+
+def test_choices_against_truth_tables():
+    """A set of labels satisfies an expression exactly if it holds one of the choices."""
+    rng = random.Random(8)
+    names = ["mit", "isc", "zlib", "gpl"]
+
+    def made(depth):
+        if not depth or rng.random() < 0.3:
+            x = rng.choice(names)
+            return x, lambda held: x in held
+        (a, f), (b, g) = made(depth - 1), made(depth - 1)
+        if rng.random() < 0.5:
+            return f"({a} OR {b})", lambda held: f(held) or g(held)
+        return f"({a} AND {b})", lambda held: f(held) and g(held)
+
+    for _ in range(200):
+        text, true = made(3)
+        value = licenses.evaluate(licenses.to_postfix(text))
+        for k in range(16):
+            held = {n for j, n in enumerate(names) if k >> j & 1}
+            assert true(held) == any(c <= held for c in value.choices), text
+        assert value.required == frozenset.intersection(*value.choices)
+
+
+def test_many_choices_stay_exact():
+    text = " AND ".join(f"(a{k} OR b{k})" for k in range(40))
+    value = licenses.evaluate(licenses.to_postfix(text))
+    assert value.choices is None and len(value.labels) == 80 and licenses.written(value).startswith("(a0|b0)+(a1|b1)+")
+
+
+@pytest.mark.parametrize("text, labels, score", [("License-Expression: the", "", 0.0), ("License-Expression: banana", "banana", 0.5), ("License-Expression: EUPL-1.2", "eupl-1.2", 1.0), ("License-Expression: Artistic-2.0 OR MIT", "artistic-2.0,mit", 1.0), ("License-Expression: MIT OR banana", "banana,mit", 0.5), ("mit license\nLicense-Expression: banana", "banana,mit", 0.9)])
+def test_unknown_identifiers_score_lower(text, labels, score):
+    assert licenses.Scanner().scan(text)[5:7] == (labels, score)
 
 
 def test_precedence():
@@ -570,7 +771,7 @@ def test_precedence():
 ])
 def test_identifier_notices(text, want):
     got = licenses.Scanner().scan(text)
-    assert got[5:] == (want, 0.7 if want else 0.0) and got[1] == 0
+    assert got[5:7] == (want, 0.7 if want else 0.0) and got[1] == 0
 
 
 @pytest.mark.parametrize("text, want", [
@@ -578,7 +779,7 @@ def test_identifier_notices(text, want):
     ("SPDX-License-Identifier: MIT OR (Apache-2.0 AND", "mit"), ("SPDX-License-Identifier: Apache-2.0. And now words", "apache"), ("SPDX-License-Identifier: GPL-2.0+ or later versions", "gpl"), ("SPDX-License-Identifier: SEE LICENSE IN x", ""), ("SPDX-License-Identifier: (MIT", ""), ('SPDX-License-Identifier: "MIT" OR "EUPL-1.2"', "eupl-1.2,mit"),
 ])
 def test_tags_with_text_behind(text, want):
-    assert licenses.Scanner().scan(text)[5:] == (want, 1.0 if want else 0.0)
+    assert licenses.Scanner().scan(text)[5:7] == (want, 1.0 if want else 0.0)
 
 
 def test_every_licence_line_is_labelled(documents):

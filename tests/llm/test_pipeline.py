@@ -67,3 +67,31 @@ def test_run(spark, sf, steps):
     texts = {r["doc_id"]: r["text"] for r in steps[0].collect()}
     assert Counter(r["doc_id"] for r in got) == ids(steps[-1])
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in got)
+
+
+def test_odd_tables(spark, steps):
+    """Nulls, repeats, clashing names and no rows at all."""
+    from pyspark.sql import functions as F
+
+    from maskwell.llm import common
+
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "same words here for all", "en", "a", 1), (2, "same words here for all", "en", "a", 1), (3, "same words here for all", None, "b", 1), (None, "other words that stand alone", "fr", None, 1), (4, "12 34", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit("x") for k in ("maskwell_row", "digest", "fp", "place", "copies")})
+    for table in (docs, docs.filter("text is null"), docs.filter("false"), docs.withColumn("lang", F.lit(None).cast("string"))):
+        got = corpus_pipeline.run_on(spark, table).collect()
+        if table is docs:
+            assert {r["doc_id"] for r in got} <= {3, None} and {r["decoded_sha256"] for r in got} <= {hashlib.sha256(t.encode()).hexdigest() for t in ("same words here for all", "other words that stand alone")}
+            assert got
+        else:
+            assert not got
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns
+    before = common.written()
+    corpus_pipeline.run_on(spark, docs.filter("false"))
+    assert common.written() - before <= 1  # only the table that the last stage reads is left
+
+
+def test_encoding_stage(spark, steps):
+    got = corpus_pipeline.encoding_stage(spark, steps[-1], "").collect()
+    texts = Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in steps[-1].select("doc_id", "text").collect())
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == texts
