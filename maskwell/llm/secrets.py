@@ -17,6 +17,9 @@ itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
@@ -35,6 +38,8 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 WEAK_FIELD = r"""(?i)(?<![a-z0-9])(pwd|pass|auth|credential|private_?key|access_?key)["']?\x20*[:=]\x20*["']?([^\s"'<>]{6,})"""
 ENDPOINT = r"""(?i)(?<![a-z0-9.-])(?:https?://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.-]+|[a-z0-9.-]++:[0-9]{2,5}(?![0-9]))"""
 _IDENTIFIER, _SECRET, _ENDPOINT = 0, 1, 2
+#: Of which one is in every text, in small letters, in which a pattern matches.
+_CUES = {"a": ("pass", "secret", "token", "api"), "c": ("akia",), "i": ("client", "access", "user", "login", "account"), "f": ("pwd", "pass", "auth", "credential", "key"), "u": (":", "=")}
 _MIXED = "x.v rlike '[0-9]' and x.v rlike '[A-Za-z]'"
 
 
@@ -45,8 +50,10 @@ def _part(column: str, k: int, part: int, strong: bool, only: str = "true") -> s
 def parts(docs: DataFrame) -> DataFrame:
     """(doc_id, row, base, weak) of every row, written once. base and weak are arrays of parts by start."""
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), common.text_of(docs).alias("text"))
+    found = found.select("*", F.lower("text").alias("low"))
     for name, pattern, group in (("a", ASSIGN, 2), ("c", ACCESS, 0), ("h", HEX, 0), ("i", WEAK_ID, 0), ("t", WEAK_SECRET, 0), ("f", WEAK_FIELD, 0), ("u", ENDPOINT, 0)):
-        found = with_spans(found, "text", pattern, name, group)
+        cues = _CUES.get(name)
+        found = with_spans(found, "text", pattern, name, group, reduce(or_, [F.contains("low", F.lit(c)) for c in cues]) if cues else None)
     base = ", ".join([_part("a", 0, _SECRET, True, f"x.n >= {ASSIGN_LEAST}"), _part("c", 1, _IDENTIFIER, True), _part("h", 2, _SECRET, True)])
     weak = ", ".join([_part("i", 3, _IDENTIFIER, False), _part("t", 4, _SECRET, False, _MIXED), _part("f", 4, _SECRET, False), _part("u", 5, _ENDPOINT, False)])
     return common.materialise(found.select("doc_id", "row", F.expr(f"array_sort(concat({base}))").alias("base"), F.expr(f"array_sort(concat({weak}))").alias("weak")), "parts")
