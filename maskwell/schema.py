@@ -12,4 +12,3 @@ RESULT = (
     f"masked_text string, spans array<{SPAN}>, segments array<{SEGMENT}>, mapping array<{ENTRY}>, review array<{REVIEW}>, findings array<{FINDING}>, blocked boolean, patient_key string, date_shift_days int, n_candidates int"
 )
 GOLD_NOTE = "text string, spans array<struct<start:int,end:int,label:string>>, source string, split string"
-MAPPING_JSON = f"entries array<{ENTRY}>, patient_key string, date_shift_days int, date_mode string"
