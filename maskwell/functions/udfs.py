@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession, functions as F, types as T
 from .. import vocab
 from ..operators import dates, validate
 from ..operators.note import deidentify
-from ..operators.resolve import indel_ratio as _indel_ratio, token_set_ratio as _token_set_ratio
+from ..operators.resolve import indel_ratio as _indel_ratio, name_key, same_person as _same_person, token_set_ratio as _token_set_ratio
 from ..policy import Policy
 
 
@@ -22,6 +22,12 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _token_set_ratio(x, y) for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.BooleanType())
+def same_person(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two surfaces of names can be one person."""
+    return pd.Series([_same_person(name_key(x or ""), name_key(y or "")) for x, y in zip(a, b)])
+
+
 @F.pandas_udf(T.IntegerType())
 def shift_days(key: pd.Series, window: pd.Series) -> pd.Series:
     return pd.Series([dates.shift_days(k or "", int(w)) for k, w in zip(key, window)])

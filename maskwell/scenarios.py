@@ -197,6 +197,60 @@ def shifted_dates(spark, sf_dir):
     return Deidentifier(Policy(date_mode="shifted")).transform(notes, key="patient").results("masked_text", "date_shift_days").select("o_orderkey", F.col("date_shift_days").alias("shift"), "masked_text")
 
 
+#: Forms of dates and what they say: year, month, day.
+_DATE_FORMS = (("%Y-%m-%d", "ymk"), ("%m/%d/%Y", "ymk"), ("%m-%d-%y", "ymk"), ("%B %d, %Y", "ymk"), ("%b %-d, %Y", "ymk"), ("%-d %B %Y", "ymk"), ("%B %Y", "ym"), ("%-m/%-d", "mk"), ("%Y", "y"))
+
+
+@query("""
+    WITH d AS (SELECT o_orderkey, o_orderdate AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS k FROM orders)
+    """ + " UNION ALL ".join(f"SELECT o_orderkey, strftime(d, '{f}') AS surface, {'y' if 'y' in parts else '0'} AS year, {'m' if 'm' in parts else '0'} AS month, {'k' if 'k' in parts else '0'} AS day FROM d" for f, parts in _DATE_FORMS))
+def date_forms(spark, sf_dir):
+    """Every form of a date, read without Python."""
+    day = F.to_date("o_orderdate")
+    forms = ("yyyy-MM-dd", "MM/dd/yyyy", "MM-dd-yy", "MMMM dd, yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM yyyy", "M/d", "yyyy")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.date_format(day, f) for f in forms])).alias("surface"))
+    return rows.select("o_orderkey", "surface", c.parse_date(F.col("surface")).alias("p")).select("o_orderkey", "surface", *[F.coalesce(f"p.{x}", F.lit(0)).alias(x) for x in ("year", "month", "day")])
+
+
+#: Whole tokens, and whether each is a clinical code.
+CODES = (
+    ("G20", True), ("E11.9", True), ("99213", True), ("J1100", True), ("2345-7", True), ("1998", True), ("500 mg", True), ("COVID-19", True), ("A1C", True), ("T12-L1", True), ("Grade II", True), ("IVB", True), ("ICD-10-CM", True),
+    ("QX-4471", False), ("123456", False), ("GG20", False), ("2345-77", False), ("Stage", False), ("ABC", False), ("MRN", False),
+)
+
+
+@query("SELECT s_suppkey, c.* FROM supplier, (VALUES " + ", ".join(f"('{t}', {x})" for t, x in CODES) + ") AS c(token, code)")
+def clinical_codes(spark, sf_dir):
+    """Each form of a clinical code, and tokens that are none."""
+    tokens = F.array(*[F.lit(t) for t, _ in CODES])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(tokens).alias("token")).withColumn("code", c.clinical_code(F.col("token")))
+
+
+@query("""
+    WITH v AS (SELECT p_partkey, lpad(CAST(p_partkey * 7919 % 100000000 AS VARCHAR), 8, '1') || CAST(p_partkey % 10 AS VARCHAR) || lpad(CAST(p_partkey * 104729 % 100000000 AS VARCHAR), 8, '2') AS vin FROM part),
+    s AS (SELECT *, list_sum(list_transform(range(1, 18), lambda i: CAST(substr(vin, i, 1) AS INT) * ([8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2])[i])) % 11 AS rest FROM v)
+    SELECT p_partkey, vin, rest < 10 AND CAST(rest AS VARCHAR) = substr(vin, 9, 1) AS good FROM s""")
+def vin_checks(spark, sf_dir):
+    key = F.col("p_partkey")
+    vin = F.concat(F.lpad((key * 7919 % 100000000).cast("string"), 8, "1"), (key % 10).cast("string"), F.lpad((key * 104729 % 100000000).cast("string"), 8, "2"))
+    return table(spark, sf_dir, "part").select("p_partkey", vin.alias("vin"), c.vin_ok(vin).alias("good"))
+
+
+#: Pairs of names, and whether they can be one person.
+PEOPLE = (
+    ("Ann Marsh", "MARSH, ANN B", True), ("Dr. Marsh, MD", "Marsh", True), ("Marsh's", "Ann Marsh", True), ("Katherine Lorimer", "Katharine Lorimer", True), ("Montgomeryson", "Ann Montgomerysen", True), ("Wood", "Woods", False), ("Ann Marsh", "Bob Marsh", False),
+    ("Ann Marsh", "Ann Lorimer", False), ("J.", "Marsh", False),
+)
+
+
+@query("SELECT s_suppkey, c.* FROM supplier, (VALUES " + ", ".join(f"({k}, {x})" for k, (_, _, x) in enumerate(PEOPLE)) + ") AS c(k, same)")
+def same_people(spark, sf_dir):
+    """When two names are one person: a part of the other, in any order, or nearly equal."""
+    cases = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b, _) in enumerate(PEOPLE)])
+    each = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(cases).alias("x")).select("s_suppkey", "x.*")
+    return each.select("s_suppkey", "k", udfs.same_person("a", "b").alias("same"))
+
+
 # Files and requests ----------------------------------------------------------------------------------
 
 

@@ -441,3 +441,30 @@ def test_shared_folder():
     assert session.shared_dir(fake("local[4]")) == session.LOCAL_SHARED_DIR and session.shared_dir(fake("spark://x:7077", checkpoint="hdfs:/c/")) == "hdfs:/c"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(fake("spark://x:7077"))
+
+
+def test_pdf_text(monkeypatch):
+    """Layout pages of one library, plain pages of the other, and no text layer; both stood in for."""
+    import sys
+    from types import SimpleNamespace
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", None)
+    reader = lambda *texts: SimpleNamespace(PdfReader=lambda raw: SimpleNamespace(pages=[SimpleNamespace(extract_text=lambda t=t: t) for t in texts]))
+    monkeypatch.setitem(sys.modules, "pypdf", reader("one", None, "two"))
+    assert files.pdf_text(b"x") == "one\f\ftwo"
+    monkeypatch.setitem(sys.modules, "pypdf", reader(" ", None))
+    with pytest.raises(ValueError, match="text layer"):
+        files.pdf_text(b"x")
+
+    class Open:
+        def __init__(self, raw):
+            self.pages = [SimpleNamespace(extract_text=lambda layout: "a   b" if layout else "a b")]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", SimpleNamespace(open=Open))
+    assert files.pdf_text(b"x") == "a   b"
