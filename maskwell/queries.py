@@ -505,9 +505,10 @@ def segments_synth(spark, sf_dir):
         'Seen on [DATE_1]; born [DATE_2].' AS harbor FROM customer""")
 def date_modes(spark, sf_dir):
     text = F.concat(F.lit("Seen on "), (F.col("c_custkey") % 30 + 1990).cast("string"), F.lit("-06-15; born 02/03/1925."))
-    notes = spread(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")))
-    first = Deidentifier(Policy(retain_year=True, date_mode="safe_harbor")).transform(notes).masked.select("c_custkey", F.col("masked_text").alias("retained"))
-    return first.join(Deidentifier(Policy(date_mode="safe_harbor")).transform(notes).masked.select("c_custkey", F.col("masked_text").alias("harbor")), "c_custkey")
+    notes = spread(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), text.alias("again")))
+    # The second policy reads the copy that the first has carried along, so nothing is joined.
+    first = Deidentifier(Policy(retain_year=True, date_mode="safe_harbor")).transform(notes).results("masked_text").withColumnRenamed("masked_text", "retained")
+    return Deidentifier(Policy(date_mode="safe_harbor")).transform(first, "again").results("masked_text").withColumnRenamed("masked_text", "harbor")
 
 
 @query(f"SELECT s_suppkey, 11 AS start, 17 AS \"end\", 'NAME_PATIENT' AS label FROM supplier UNION ALL SELECT s_suppkey, 0, 6, 'NAME_PROVIDER' FROM supplier")
