@@ -710,6 +710,28 @@ def test_licenses_against_word_lists(spark, documents):
         assert 0 <= r["score"] <= 1
 
 
+def test_notices_and_scores_against_word_lists(spark, documents):
+    """Labels and score of texts without tags or grants, by a search for each phrase."""
+    rng = random.Random(12)
+    words = sorted({w for p in (*licenses.BASE, *licenses.NOTICES) for w in p.split()} | {"x", "é", "the,"})
+    phrases = [*licenses.BASE, *licenses.NOTICES]
+    made = [(10**6 + k, rng.choice([" ", "\n", " - "]).join(rng.choice(phrases).title() if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randint(0, 25)))) for k in range(400)]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    got, seen = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}, Counter()
+    for i, t in texts_of(docs):
+        low = t.translate({c: c + 32 for c in range(65, 91)})
+        if any(x in low for x in licenses.TAGS) or re.search(f"({'|'.join(licenses.GRANTS)})[^a-z]+under", low):
+            continue
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        holds = lambda p: any(w[k : k + len(p)] == p for k in range(len(w)))  # noqa: B023, E731
+        base = {v for p, v in licenses.BASE.items() if holds(p.split())}
+        other = {v for p, v in licenses.NOTICES.items() if holds(p.split())}
+        want = (",".join(sorted(base | other)), 0.9 if base else 0.7 if other else 0.0, "", "")
+        assert (got[i]["labels"], got[i]["score"], got[i]["choices"], got[i]["required"]) == want, t
+        seen[want[1]] += 1
+    assert min(seen[x] for x in (0.9, 0.7, 0.0)) > 20
+
+
 @pytest.mark.parametrize("expression, want", [
     ("MIT", {"mit"}), ("(MIT OR Apache-2.0) AND BSD-3-Clause", {"mit", "apache", "bsd"}), ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl"}), ("LGPL-2.1+ or custom-x", {"lgpl", "custom-x"}), ("MIT OR", None), ("(MIT", None), ("MIT)", None), ("MIT Apache", None), ("", None), ("AND MIT", None), ("()", None), ("GPL-2.0 WITH (MIT)", None), ("WITH MIT", None),
 ])
