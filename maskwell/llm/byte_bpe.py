@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,7 +31,7 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that the table of merged pieces holds, and characters of text whose new pieces are merged at once.
-TABLE_PIECES, BLOCK_CHARS = 300_000, 4_000_000
+TABLE_PIECES, BLOCK_CHARS = 200_000, 1_000_000
 _NONE = np.int64(1 << 62)
 _WIDTHS = (2, 4, 8, 16, 32, 64)
 _ROWS = 8192
@@ -167,7 +167,7 @@ class BytePairCodec:
                 rows = own[k : k + _ROWS]
                 self.table.update(zip((p for p, _ in rows), self._merge_rows([r for _, r in rows], width)))
 
-    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode_many(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """The ids of each text, without special tokens. Blocks of texts bound what is held."""
         block, size = [], 0
         for text in texts:
@@ -224,7 +224,7 @@ def _with_codec(df: DataFrame, work, schema: str, vocabulary: str | None, patter
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) for every row of docs."""
     def work(own: BytePairCodec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = list(own.encode_many(batch.column("text").to_pylist()))
+        ids = list(own.encode_many(x.as_py() for x in batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
@@ -244,7 +244,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str | None = None, pattern:
     """The contract's row for each document: digests of its ids and of the bytes decoded from them."""
     def work(own: BytePairCodec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts, id_digests, text_digests = [], [], []
-        for ids in own.encode_many(batch.column("text").to_pylist()):
+        for ids in own.encode_many(x.as_py() for x in batch.column("text")):
             counts.append(len(ids))
             id_digests.append(hashlib.sha256(own.decimal(ids).encode()).hexdigest())
             text_digests.append(hashlib.sha256(own.decode(ids)).hexdigest())
