@@ -194,7 +194,7 @@ def family(identifier: str) -> str:
 
 def recognised(identifier: str) -> bool:
     low = identifier.lower()
-    return bool(_KNOWN.fullmatch(low) or _SHAPED.fullmatch(low)) or any(low == x or low.startswith(x + "-") for x in (low, low.split("-")[0]) if x in IDENTIFIERS)
+    return bool(_KNOWN.fullmatch(low) or _SHAPED.fullmatch(low)) or low in IDENTIFIERS or low.partition("-")[0] in IDENTIFIERS
 
 
 class Expression(NamedTuple):
