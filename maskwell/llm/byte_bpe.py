@@ -34,7 +34,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 TABLE_PIECES, BLOCK_CHARS = 200_000, 1_000_000
 _NONE = np.int64(1 << 62)
 _WIDTHS = (2, 4, 8, 16, 32, 64)
-_ROWS = 8192
+#: Pieces merged at once at most, and bytes of them.
+_ROWS, _CELLS = 8192, 1 << 17
 
 
 class BytePairCodec:
@@ -163,8 +164,9 @@ class BytePairCodec:
             else:
                 by_width[1 << (len(raw) - 1).bit_length()].append((piece, raw))
         for width, own in by_width.items():
-            for k in range(0, len(own), _ROWS):
-                rows = own[k : k + _ROWS]
+            step = min(_ROWS, _CELLS // width)
+            for k in range(0, len(own), step):
+                rows = own[k : k + step]
                 self.table.update(zip((p for p, _ in rows), self._merge_rows([r for _, r in rows], width)))
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[list[int]]:
