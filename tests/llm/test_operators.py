@@ -402,6 +402,48 @@ def test_hex_is_strong(spark):
     assert got[1][2] == "identifier:0:15,hex:16:80"
 
 
+def credential(rng):
+    """A planted credential as (text, its parts): identifier, secret, endpoint in one of several styles."""
+    letters = "abcdefghijkmnpqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    token = "".join(rng.choice(letters + letters.upper() + "0123456789") for _ in range(rng.randint(20, 40))) + "7aZ"
+    short, who, host = word(5) + str(rng.randint(10, 99)) + "!", f"svc_{word(6)}", f"{word(5)}.{word(6)}.net"
+    url = f"https://{host}/v1"
+    return rng.choice([
+        ([f"client_id={who}", "\n", f"{token}", "\n", url]), ([f"username: {who}", ", ", f"pwd: {short}", ", ", f"host: {host}"]), ([f'"login": "{who}', '", ', f'"pass": "{short}', '", ', f'"endpoint": "{host}', '"']),
+        ([f"user_id = {who}", " ", f"auth={token}", " at ", f"{host}:5432"]), ([f"{host}:8443", " ", f"account_id={who}", " ", f"private_key={token}"]),
+    ])
+
+
+def test_linking_quality(spark):
+    """Parts of planted credentials among prose with lonely parts, as exact stretches of text."""
+    rng = random.Random(31)
+    filler = lambda n: " ".join(rng.choice(["the", "river", "note", "of", "see", "page", "it", "was"]) for _ in range(n))
+    lonely = [lambda: f"https://{rng.randrange(10**6)}.example.org/a", lambda: f"login: {rng.choice(['page', 'form'])}", lambda: "".join(rng.choice("abcdefgh0123456789ABCXYZ") for _ in range(30)) + "a1B"]
+    rows, gold = [], {}
+    for k in range(400):
+        text, own = filler(rng.randint(5, 40)) + " ", set()
+        for _ in range(rng.randint(0, 2)):
+            for piece in credential(rng):
+                if len(piece) > 4 or piece[:1].isalnum() and "=" in piece:
+                    own.add((len(text), len(text) + len(piece)))
+                text += piece
+            text += " " + filler(120) + " "
+        for _ in range(rng.randint(0, 1)):
+            text += rng.choice(lonely)() + " " + filler(120) + " "
+        rows.append((k, text))
+        gold[k] = own
+    hit = extra = missed = 0
+    for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = {tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x}
+        want = gold[r["doc_id"]]
+        near = lambda a, others: any(a[0] < e and s < a[1] for s, e in others)
+        hit, extra, missed = hit + sum(near(w, got) for w in want), extra + sum(not near(g, want) for g in got), missed + sum(not near(w, got) for w in want)
+    assert hit > 500
+    print("linked parts", hit / (hit + extra), hit / (hit + missed))
+    assert hit / (hit + extra) > 0.95 and hit / (hit + missed) > 0.95
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
