@@ -29,8 +29,6 @@ from ..policy import Policy
 
 #: A source of further spans: texts of a batch in, for each the spans (a model, a dictionary, ...).
 SpanSource = Callable[[list[str]], list[Iterable[Span]]]
-#: A table of at most so many bytes is dealt out over all cores.
-SMALL_BYTES = 256 << 20
 
 
 def nested(rows: list[list[tuple]], kind: pa.DataType) -> pa.Array:
@@ -51,17 +49,6 @@ _OF = {
 }
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt out over all cores if they are small.
-
-    A small table can be one row group of one file, and so one task. The shuffle that this adds is
-    bounded by SMALL_BYTES; larger tables and streams are read as they are split.
-    """
-    if rows.isStreaming or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
-        return rows
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-
-
 class Deidentifier:
     """Masks a text column under a policy.
 

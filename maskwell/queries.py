@@ -14,8 +14,9 @@ from .functions import columns as c
 from .operators import relational as rel
 from .plans import contacts, evaluate as ev, vault
 from .plans.audit import guard_flags, leak_scan
-from .plans.deidentify import Deidentifier, category_table, detect_spans, rehydrate, spread
+from .plans.deidentify import Deidentifier, category_table, detect_spans, rehydrate
 from .policy import Policy
+from .session import spread
 from .sources import gold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -15,10 +15,10 @@ from .operators import dates, relational as rel
 from .operators.spans import Span
 from .operators.tagger import Tagger
 from .plans import contacts, evaluate as ev, harness, service
-from .plans.deidentify import Deidentifier, detect_spans, spread
+from .plans.deidentify import Deidentifier, detect_spans
 from .policy import Policy
 from .queries import _EMAIL, _LETTERS, masked, padded, query, table
-from .session import scratch
+from .session import scratch, spread
 from .sources import corpus, files, gold
 from .streaming.sessions import deidentify_stream
 

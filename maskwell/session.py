@@ -10,7 +10,7 @@ import zipfile
 from pathlib import Path
 
 from py4j.protocol import Py4JError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -62,3 +62,18 @@ def _clean() -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         except (Py4JError, AttributeError, OSError):  # the session has been stopped
             return
+
+
+#: A table of at most so many bytes is dealt out over all cores.
+SMALL_BYTES = 256 << 20
+
+
+def spread(rows: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """rows dealt out over all cores if they are small.
+
+    A small table can be one row group of one file, and so one task. The shuffle that this adds is
+    bounded by that size; larger tables and streams are read as they are split.
+    """
+    if rows.isStreaming or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
