@@ -8,16 +8,24 @@ import uuid
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, spread
 
 #: A group with more rows than this share of them all (and than LARGE_ROWS) meets its rows by broadcast.
 LARGE_ROWS, LARGE_GROUPS = 100_000, 100_000
 #: Decisions about single rows that are broadcast at most.
 FEW_ROWS = 1_000_000
 
+#: A table of at most so many bytes is dealt out over all cores, as it may be one row group of one file.
+SMALL_BYTES = 16 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """The table in a Parquet file or folder."""
+    return spread(spark.read.parquet(path), SMALL_BYTES)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
