@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    return run_on(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    return run_on(spark, common.table(spark, f"{sf_dir}/documents.parquet"), sf_dir)
 
 
 def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str = "") -> DataFrame:
