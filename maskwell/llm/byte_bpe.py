@@ -220,7 +220,7 @@ def _with_codec(df: DataFrame, work, schema: str, vocabulary: str | None, patter
         for batch in batches:
             yield from work(own, batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: common.handing_back(run(batches)), schema)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -72,6 +76,20 @@ def _release_all() -> None:
             return
 
 
+def handing_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at its end the worker, which lives on, hands its free memory back."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text column with null as empty."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

@@ -147,7 +147,7 @@ def train(docs: DataFrame) -> Hierarchy:
     shares = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(int(min(1.0, 1.2 * size / n) * (1 << 40))))])
     sample = known.select("lang", mixed.alias("mixed"), F.col("text").cast("string").alias("text")).filter(F.col("mixed") < shares[F.col("lang")])
     # Vectors are made where the texts are; the limit only guards the driver against ids that repeat.
-    rows = sample.mapInArrow(_feature_rows, "lang string, mixed long, x binary").limit(2 * size * len(counts)).collect()
+    rows = sample.mapInArrow(lambda batches: common.handing_back(_feature_rows(batches)), "lang string, mixed long, x binary").limit(2 * size * len(counts)).collect()
     by_lang: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["mixed"], r["x"])):
         own = by_lang.setdefault(r["lang"], [])
@@ -170,7 +170,7 @@ def with_language(docs: DataFrame, model: Hierarchy, key: list[str], lang: str,
             kept = [batch.column(k) for k in range(len(key))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names[: len(key)], lang, score])
 
-    return rows.mapInArrow(run, rows.select(*own).schema.add(lang, "string").add(score, "double"))
+    return rows.mapInArrow(lambda batches: common.handing_back(run(batches)), rows.select(*own).schema.add(lang, "string").add(score, "double"))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

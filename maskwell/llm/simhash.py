@@ -71,7 +71,7 @@ def fingerprint_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
     text = common.text_of(docs)
     place = docs[row] if row else F.lit(None).cast("struct<file: bigint, at: bigint>")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), place.alias("place"), text.alias("text"))
-    return common.materialise(rows.mapInArrow(_fingerprints, "doc_id long, tie long, place struct<file: bigint, at: bigint>, fp long"), "simhash")
+    return common.materialise(rows.mapInArrow(lambda batches: common.handing_back(_fingerprints(batches)), "doc_id long, tie long, place struct<file: bigint, at: bigint>, fp long"), "simhash")
 
 
 def _bits(at: str, width: str) -> str:
