@@ -41,7 +41,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_release_all)
     _written.append((spark, path))
-    df.write.parquet(path)
+    # Not Snappy: its buffers lie outside the heap until a collection of the old generation.
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
