@@ -468,3 +468,11 @@ def test_pdf_text(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "pdfplumber", SimpleNamespace(open=Open))
     assert files.pdf_text(b"x") == "a   b"
+
+
+def test_pages_are_written_by_many_tasks(spark, tmp_path):
+    notes = spark.range(12).selectExpr("concat('in/n', id, '.pdf') as path", "concat('a', id, '\\fb') as text").coalesce(1)
+    files.write_pages(notes, str(tmp_path / "out"))
+    assert len({f.name.split("-")[1] for f in (tmp_path / "out" / "pages").rglob("part-*")}) > 1
+    back = {(r.note, r.page, r.value.rstrip("\n")) for r in files.read_pages(spark, f"{tmp_path}/out").collect()}
+    assert back == {(f"n{k}", f"000{p + 1}", (f"a{k}", "b")[p]) for k in range(12) for p in (0, 1)}
