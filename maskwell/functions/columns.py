@@ -149,36 +149,53 @@ def calendar_date(y: Column, m: Column, d: Column) -> Column:
     return F.when(y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & d.between(1, 31), F.try_to_date(written, "yyyy-MM-dd"))
 
 
-def parse_date(surface: Column) -> Column:
-    """struct<year int, month int, day int> of a date surface, null if it isn't one."""
-    t = F.btrim(F.btrim(surface), F.lit(".,;"))
-    word, day = "([A-Za-z]{3,9})", "([0-9]{1,2})"
+#: Forms of dates as in operators.dates, with what each group says; no surface has two forms.
+_DATE_FORMS = (
+    ("ymd", "([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})"), ("abY", "([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2,4})"), ("Mdy", r"([A-Za-z]{3,9})\.?\s+([0-9]{1,2})(?:st|nd|rd|th)?,?\s+([0-9]{4})"),
+    ("dMy", r"([0-9]{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+([0-9]{4})"), ("My", r"([A-Za-z]{3,9})\.?\s+([0-9]{4})"), ("md", "([0-9]{1,2})/([0-9]{1,2})"), ("y", "((?:19|20)[0-9]{2})"),
+)
+_LINE_END = r"(?:\r\n|[\n\r\u0085\u2028\u2029])?"
 
-    def part(pattern: str, k: int) -> Column:
-        return F.regexp_extract(t, pattern, k)
 
-    def number(pattern: str, k: int) -> Column:
-        return F.try_to_number(part(pattern, k), F.lit("9999")).cast("int")
-
-    def made(y: Column, m: Column, d: Column) -> Column:
-        return F.when(calendar_date(y, m, d).isNotNull(), F.struct(y.alias("year"), m.alias("month"), d.alias("day")))
+def parse_date(surface: Column) -> Column:
+    """struct<year int, month int, day int> of a date surface, null if it isn't one.
 
+    One match takes the surface apart: the groups of all forms, of which those of one are filled.
+    """
+    t = F.btrim(F.btrim(surface), F.lit(".,;"))
+    whole = rf"\A(?:(?:{'|'.join(p for _, p in _DATE_FORMS)}){_LINE_END}|(?s:.*))\z"
+    count = sum(len(order) for order, _ in _DATE_FORMS)
+    parts = F.split(F.regexp_replace(t, whole, ",".join(f"${k}" for k in range(1, count + 1))), ",", -1)
     none = F.lit(None).cast("int")
     loose = lambda y, m, d: F.struct(y.alias("year"), m.alias("month"), d.alias("day"))
-    iso, num = "^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", "^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2,4})$"
-    mdy, dmy = rf"^{word}\.?\s+{day}(?:st|nd|rd|th)?,?\s+([0-9]{{4}})$", rf"^{day}(?:st|nd|rd|th)?\s+{word}\.?,?\s+([0-9]{{4}})$"
-    my, md, yr = rf"^{word}\.?\s+([0-9]{{4}})$", "^([0-9]{1,2})/([0-9]{1,2})$", "^((?:19|20)[0-9]{2})$"
-    a, b = number(num, 1), number(num, 2)
-    swap = (a > 12) & (b <= 12)
-    return (
-        F.when(t.rlike(iso), made(number(iso, 1), number(iso, 2), number(iso, 3)))
-        .when(t.rlike(num), made(full_year(number(num, 3)), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)))
-        .when(t.rlike(mdy) & month_number(part(mdy, 1)).isNotNull(), made(number(mdy, 3), month_number(part(mdy, 1)), number(mdy, 2)))
-        .when(t.rlike(dmy) & month_number(part(dmy, 2)).isNotNull(), made(number(dmy, 3), month_number(part(dmy, 2)), number(dmy, 1)))
-        .when(t.rlike(my) & month_number(part(my, 1)).isNotNull(), loose(number(my, 2), month_number(part(my, 1)), none))
-        .when(t.rlike(md) & number(md, 1).between(1, 12) & number(md, 2).between(1, 31), loose(none, number(md, 1), number(md, 2)))
-        .when(t.rlike(yr), loose(number(yr, 1), none, none))
-    )
+
+    def read(p: Column) -> Column:
+        at, out = 0, None
+        for order, _ in _DATE_FORMS:
+            text = {k: F.get(p, at + i) for i, k in enumerate(order)}
+            value = {k: (month_number(v) if k == "M" else v.try_cast("int")) for k, v in text.items()}
+            found, at = text[order[0]] != "", at + len(order)
+            if order == "abY":
+                made = let(F.struct(full_year(value["Y"]).alias("y"), value["a"].alias("a"), value["b"].alias("b")), lambda x: _checked(x["y"], F.when((x["a"] > 12) & (x["b"] <= 12), x["b"]).otherwise(x["a"]), F.when((x["a"] > 12) & (x["b"] <= 12), x["a"]).otherwise(x["b"])))
+            elif order == "md":
+                made = F.when(value["m"].between(1, 12) & value["d"].between(1, 31), loose(none, value["m"], value["d"]))
+            elif "d" in order:
+                made = let(F.struct(value["y"].alias("y"), value.get("M", value.get("m")).alias("m"), value["d"].alias("d")), lambda x: _checked(x["y"], x["m"], x["d"]))
+            elif order == "My":
+                made = let(F.struct(value["y"].alias("y"), value["M"].alias("m")), lambda x: F.when(x["m"].isNotNull(), loose(x["y"], x["m"], none)))
+            else:
+                made = loose(value["y"], none, none)
+            out = F.when(found, made) if out is None else out.when(found, made)
+        return out
+
+    return let(parts, read)
+
+
+def _checked(y: Column, m: Column, d: Column) -> Column:
+    """struct<year, month, day> of a day that the calendar has, else null."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & (d >= 1) & (d <= last), F.struct(y.alias("year"), m.alias("month"), d.alias("day")))
 
 
 # Rewriting -----------------------------------------------------------------------------------------

@@ -208,7 +208,7 @@ def date_forms(spark, sf_dir):
     """Every form of a date, read without Python."""
     day = F.to_date("o_orderdate")
     forms = ("yyyy-MM-dd", "MM/dd/yyyy", "MM-dd-yy", "MMMM dd, yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM yyyy", "M/d", "yyyy")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.date_format(day, f) for f in forms])).alias("surface"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", F.explode(F.array(*[F.date_format(day, f) for f in forms])).alias("surface"))
     return rows.select("o_orderkey", "surface", c.parse_date(F.col("surface")).alias("p")).select("o_orderkey", "surface", *[F.coalesce(f"p.{x}", F.lit(0)).alias(x) for x in ("year", "month", "day")])
 
 
