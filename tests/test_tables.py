@@ -471,8 +471,28 @@ def test_pdf_text(monkeypatch):
 
 
 def test_pages_are_written_by_many_tasks(spark, tmp_path):
-    notes = spark.range(12).selectExpr("concat('in/n', id, '.pdf') as path", "concat('a', id, '\\fb') as text").coalesce(1)
+    notes = spark.range(12).selectExpr("concat('in/n', id, '.pdf') as path", "concat('a', id, chr(12), 'b') as text").coalesce(1)
     files.write_pages(notes, str(tmp_path / "out"))
     assert len({f.name.split("-")[1] for f in (tmp_path / "out" / "pages").rglob("part-*")}) > 1
     back = {(r.note, r.page, r.value.rstrip("\n")) for r in files.read_pages(spark, f"{tmp_path}/out").collect()}
     assert back == {(f"n{k}", f"000{p + 1}", (f"a{k}", "b")[p]) for k in range(12) for p in (0, 1)}
+
+
+def test_large_tables_are_dealt_out_in_small_tasks(spark):
+    from maskwell.session import TASK_BYTES, spread
+
+    plan = lambda *args: spread(*args)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {(8 << 27) // TASK_BYTES}, true" in plan(spark.range(1 << 27))
+    assert "Repartition" not in plan(spark.range(1 << 27), 16 << 20)
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan(spark.range(10))
+
+
+def test_date_forms_and_near_forms(spark):
+    from maskwell.functions.columns import parse_date
+    from maskwell.operators.dates import parse
+
+    surfaces = ["2020-02-29", "2021-02-29", "1900-02-29", "2000-2-29", "13/4/2020", "4/13/20", "13/13/2020", "1.2.199", "02-30-99", "March 4, 2020", "Sept. 4th 2020", "Marc 4 2020", "4 March, 2020", "31 April 2020", "March 2020", "Foo 2020", "4/18", "13/18", "0/5", "2020", "1899", "12/31/1899", " 2020-01-02., ", "", "x", "2020-01-02 x", "2020-00-10"]
+    rows = spark.createDataFrame([(x,) for x in surfaces], "s string").select("s", parse_date(F.col("s")).alias("p")).collect()
+    assert {r.s: tuple(r.p) if r.p else None for r in rows} == {x: tuple(parse(x)) if parse(x) else None for x in surfaces}
+    plan = spark.range(1).select(parse_date(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") <= 2  # one reading of the surface, not one for each form
