@@ -156,7 +156,10 @@ class Deidentified:
 
 
 def detect_spans(docs: DataFrame, text: str = "text", categories: Iterable[str] | None = None) -> DataFrame:
-    """Candidates as the rules and form fields emit them, before any arbitration: docs' columns, spans."""
+    """Candidates as the rules and form fields emit them, before any arbitration: docs' columns, spans.
+
+    categories: only these; rules that can't emit them don't run, and seq counts only what is emitted.
+    """
     wanted = frozenset(categories) if categories is not None else None
     policy = Policy()
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], docs[text].cast("string").alias("_text"))
@@ -167,8 +170,8 @@ def detect_spans(docs: DataFrame, text: str = "text", categories: Iterable[str]
         for batch in batches:
             found = []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                spans, _ = note.candidates_of(t or "", policy)
-                found.append({"spans": [s._asdict() | {"seq": k} for k, s in enumerate(spans) if wanted is None or s.category in wanted]})
+                spans, _ = note.candidates_of(t or "", policy, wanted)
+                found.append({"spans": [s._asdict() | {"seq": k} for k, s in enumerate(spans)]})
             done = pa.RecordBatch.from_pylist(found, schema=arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *done.columns], [*batch.schema.names[:-1], "spans"])
 
