@@ -253,3 +253,22 @@ def test_bounded_initials():
 def test_category_restriction():
     assert {s.category for s in rules.detect(NOTE, [], ["SSN", "EMAIL"])} == {"SSN", "EMAIL"}
     assert {s.category for s in rules.detect("Fax: 617-555-0199", [], ["FAX"])} == {"FAX"}
+
+
+def test_matches_by_shape_are_matches_of_the_text(monkeypatch):
+    from maskwell.operators import rules
+
+    texts = [f"MRN: 000{n}\nborn in {y}, in her {d}0s. On {n}-02-29 and 2/{n % 31}/{y}, NPI 124531{n}, host {n % 300}.0.0.1, QX{n}ZB" for n in (1245, 9599, 2020, 2021) for y in (1750, 1850, 1950, 2035) for d in (8, 9)]
+    short = [rules.detect(t, []) for t in texts]
+    assert rules._shaped.cache_info().hits
+    monkeypatch.setattr(rules, "SHAPED_CHARS", -1)
+    assert short == [rules.detect(t, []) for t in texts]
+
+
+def test_wanted_categories_run_only_their_rules():
+    from maskwell.operators import note
+    from maskwell.policy import Policy
+
+    text = "Mail a@b.org, SSN 219-44-8812. Email: c@d.org"
+    every, mail = note.candidates_of(text, Policy())[0], note.candidates_of(text, Policy(), frozenset({"EMAIL"}))[0]
+    assert mail and mail == [s for s in every if s.category == "EMAIL"] != every
