@@ -22,6 +22,11 @@ FLAT_RULES = (
     ("ssn", "SSN", 0.96, r"\b[0-9]{3}[-\s]?[0-9]{2}[-\s]?[0-9]{4}\b"),
     ("long_digits", "ID_GENERIC", 0.55, r"\b[0-9]{9,}\b"),
 )
+#: What any text with a match has too, and is quick to look for.
+FLAT_CUES = {
+    "email": lambda t: t.contains("@"), "url": lambda t: t.contains("://") | t.contains("www."), "ipv4": lambda t: t.rlike(r"[0-9]\.[0-9]"), "phone": lambda t: t.rlike(r"[0-9]{3}[-.\s][0-9]{4}"),
+    "ssn": lambda t: t.rlike(r"[0-9]{2}[-\s]?[0-9]{4}"), "long_digits": lambda t: t.rlike("[0-9]{9}"),
+}
 FLAT = {name: (category, score, pattern) for name, category, score, pattern in FLAT_RULES}
 
 
@@ -72,7 +77,7 @@ def flat_spans(text: Column, names=tuple(FLAT)) -> Column:
     def typed(name: str) -> Column:
         category, score, pattern = FLAT[name]
         good = {"ipv4": lambda x: ipv4_ok(x["text"]), "ssn": lambda x: ssn_ok(x["text"])}.get(name)
-        found = matches(text, pattern)
+        found = F.when(FLAT_CUES[name](text), matches(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
         found = F.filter(found, good) if good else found
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(category).alias("category"), F.lit(score).alias("score"), F.lit(name).alias("detector")))
 

@@ -106,7 +106,7 @@ def mask_contacts(spark, sf_dir):
     SELECT doc_id, len(e) AS n_email, len(i) AS n_ip, len(p) AS n_phone, false AS left_over FROM m WHERE len(e) + len(i) + len(p) > 0""")
 def mask_contacts_jvm(spark, sf_dir):
     """Contacts masked by Spark expressions alone: distinct placeholders by category, and whether one is left."""
-    done = contacts.mask_contacts(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=("email", "ipv4", "phone")).filter(F.size("contacts") > 0)
+    done = contacts.mask_contacts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), rules=("email", "ipv4", "phone")).filter(F.size("contacts") > 0)
     n = lambda category: F.size(F.array_distinct(F.transform(F.filter("contacts", lambda s: s["category"] == category), lambda s: s["placeholder"]))).cast("long")
     return done.select("doc_id", n("EMAIL").alias("n_email"), n("IP").alias("n_ip"), n("PHONE").alias("n_phone"), F.col("masked_text").rlike(_EMAIL).alias("left_over"))
 

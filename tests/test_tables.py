@@ -496,3 +496,13 @@ def test_date_forms_and_near_forms(spark):
     assert {r.s: tuple(r.p) if r.p else None for r in rows} == {x: tuple(parse(x)) if parse(x) else None for x in surfaces}
     plan = spark.range(1).select(parse_date(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_") + plan.count("RLIKE") <= 2  # one reading of the surface, not one for each form
+
+
+def test_flat_rules_look_for_a_cue_first(spark):
+    from maskwell.functions import columns as c
+
+    text = "a@b.org ftp://x.y 10.0.0.1 (617) 555-0123 219448812 1234567890"
+    rows = spark.createDataFrame([(text,), ("plain",), (None,)], "t string")
+    got = [[x["detector"] for x in r.s] for r in rows.select(c.flat_spans(F.col("t")).alias("s")).collect()]
+    assert set(got[0]) == set(c.FLAT) and got[1:] == [[], []]
+    assert set(c.FLAT_CUES) == set(c.FLAT)
