@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
-from ..functions.columns import blanked, parse_date
+from ..functions.columns import blanked, let, parse_date
 from ..functions.udfs import token_set_ratio
 
 #: The thresholds that a sweep tries.
@@ -26,36 +26,67 @@ def ratio(part: Column, whole: Column) -> Column:
 _SPANS = "array<struct<start:int,end:int,label:string>>"
 
 
-def matched(gold: str, pred: str) -> Column:
+def _touch(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _matching(gold: Column | str, pred: Column | str, then) -> Column:
+    """then(gold, pred, taken): taken has for each gold span the number of the prediction that it takes, or
+    -1, and pred its numbers as k.
+
+    Spark computes an expression as often as it is written, and in a lambda for every element: so each
+    of the three is bound once.
+    """
+    numbered = F.transform(pred, lambda p, k: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["label"].alias("label"), k.alias("k")))
+
+    def taken(gold: Column, pred: Column) -> Column:
+        fits = lambda t, g: F.filter(pred, lambda p: _touch(g, p) & (p["label"] == g["label"]) & ~F.array_contains(t, p["k"]))
+        return F.aggregate(gold, F.array().cast("array<int>"), lambda t, g: F.concat(t, F.array(F.coalesce(F.get(fits(t, g), F.lit(0))["k"], F.lit(-1)))))
+
+    return let(gold, lambda g: let(numbered, lambda p: let(taken(g, p), lambda t: then(g, p, t))))
+
+
+def _exact(gold: Column, pred: Column, taken: Column) -> Column:
+    own = lambda k: F.get(pred, F.get(taken, k))
+    return F.size(F.filter(gold, lambda g, k: (own(k)["start"] == g["start"]) & (own(k)["end"] == g["end"])))
+
+
+def _bare(gold: Column, pred: Column) -> Column:
+    return F.filter(gold, lambda g: ~F.exists(pred, lambda p: _touch(g, p)))
+
+
+def matched(gold: Column | str, pred: Column | str) -> Column:
     """struct<hits, exact, missed, bare, extra> of two arrays of struct<start, end, label>.
 
     Each gold span in order takes the first unused prediction of its label that overlaps it. hits are
     the gold spans that got one, missed those that didn't, bare those that no prediction of any label
     overlaps, extra the predictions that nobody took; exact counts hits with equal ends.
     """
-    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     plain = lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["label"].alias("label"))
-    numbers = F.when(F.size(pred) > 0, F.sequence(F.lit(0), F.size(pred) - 1)).otherwise(F.array().cast("array<int>"))
-    none, empty = F.array().cast("array<int>"), F.array().cast(_SPANS)
-
-    def step(s: Column, g: Column) -> Column:
-        fits = F.filter(numbers, lambda k: touch(g, F.get(pred, k)) & (F.get(pred, k)["label"] == g["label"]) & ~F.array_contains(s["used"], k))
-        hit, own = F.get(fits, F.lit(0)), F.array(plain(g))
-        same = hit.isNotNull() & (F.get(pred, hit)["start"] == g["start"]) & (F.get(pred, hit)["end"] == g["end"])
-        bare = ~F.exists(pred, lambda p: touch(g, p))
-        more = lambda name, when: F.when(when, F.concat(s[name], own)).otherwise(s[name]).alias(name)
-        used = F.when(hit.isNull(), s["used"]).otherwise(F.concat(s["used"], F.array(hit))).alias("used")
-        return F.struct(used, (s["exact"] + same.cast("int")).alias("exact"), more("hits", hit.isNotNull()), more("missed", hit.isNull()), more("bare", bare))
-
-    start = F.struct(none.alias("used"), F.lit(0).alias("exact"), empty.alias("hits"), empty.alias("missed"), empty.alias("bare"))
-    extra = lambda s: F.transform(F.filter(numbers, lambda k: ~F.array_contains(s["used"], k)), lambda k: plain(F.get(pred, k)))
-    return F.aggregate(gold, start, step, lambda s: F.struct(s["hits"].alias("hits"), s["exact"].alias("exact"), s["missed"].alias("missed"), s["bare"].alias("bare"), extra(s).alias("extra")))
-
-
-def one_to_one(gold: str, pred: str) -> Column:
-    """struct<tp, fp, fn, exact, uncovered> of two arrays of struct<start, end, label>."""
-    count = lambda m: F.struct(F.size(m["hits"]).alias("tp"), F.size(m["extra"]).alias("fp"), F.size(m["missed"]).alias("fn"), m["exact"].alias("exact"), F.size(m["bare"]).alias("uncovered"))
-    return F.get(F.transform(F.array(matched(gold, pred)), count), F.lit(0))
+
+    def parts(gold: Column, pred: Column, taken: Column) -> Column:
+        hits, missed = F.filter(gold, lambda g, k: F.get(taken, k) >= 0), F.filter(gold, lambda g, k: F.get(taken, k) < 0)
+        extra = F.filter(pred, lambda p: ~F.array_contains(taken, p["k"]))
+        spans = {"hits": hits, "missed": missed, "bare": _bare(gold, pred), "extra": extra}
+        plains = {name: F.transform(x, plain).alias(name) for name, x in spans.items()}
+        none = F.array().cast(_SPANS)
+        return F.when(gold.isNotNull(), F.struct(plains["hits"], _exact(gold, pred, taken).alias("exact"), plains["missed"], plains["bare"], F.coalesce(plains["extra"], none).alias("extra")))
+
+    return _matching(gold, pred, parts)
+
+
+COUNTS = ("tp", "fp", "fn", "exact", "uncovered")
+
+
+def one_to_one(gold: Column | str, pred: Column | str, counts: tuple[str, ...] = COUNTS) -> Column:
+    """struct<tp, fp, fn, exact, uncovered> of two arrays of struct<start, end, label>; those in counts only."""
+
+    def count(gold: Column, pred: Column, taken: Column) -> Column:
+        tp = F.size(F.filter(taken, lambda k: k >= 0))
+        each = {"tp": tp, "fp": F.greatest(F.size(pred), F.lit(0)) - tp, "fn": F.size(gold) - tp, "exact": _exact(gold, pred, taken), "uncovered": F.size(_bare(gold, pred))}
+        return F.struct(*[each[name].alias(name) for name in counts])
+
+    return _matching(gold, pred, count)
 
 
 def report(scores: DataFrame, source: str = "source") -> DataFrame:

@@ -464,11 +464,14 @@ def interval_check(spark, sf_dir):
     SELECT doc, count(*) AS n, count(*) FILTER (gs < ps + 3 AND ps < ge) AS near FROM x GROUP BY 1""")
 def gold_overlap_counts(spark, sf_dir):
     """Gold and predicted spans of equal label, at most one prediction near each gold span."""
-    line, q = table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("int")
-    at = F.col("l_linenumber") * 12
+    place = F.struct((F.col("l_linenumber") * 12).alias("at"), (F.col("l_quantity").cast("int") % 12).alias("q"))
+    # Dealt out by document first: a partial aggregation would only sort the rows of what may be few long tasks.
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), place.alias("x")), by=("doc",))
     span = lambda s, e: F.struct(s.alias("start"), e.alias("end"), F.lit("X").alias("label"))
-    both = line.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(span(at, at + 6))).alias("gold"), F.array_sort(F.collect_list(span(at + q % 12 - 3, at + q % 12))).alias("pred"))
-    return both.select("doc", F.size("gold").cast("long").alias("n"), ev.one_to_one("gold", "pred").alias("s")).select("doc", "n", F.col("s.tp").cast("long").alias("near"))
+    spans = lambda of: F.sort_array(F.transform("x", of))
+    gold_, pred = spans(lambda x: span(x["at"], x["at"] + 6)), spans(lambda x: span(x["at"] + x["q"] - 3, x["at"] + x["q"]))
+    both = lines.groupBy("doc").agg(F.collect_list("x").alias("x"))
+    return both.select("doc", F.size("x").cast("long").alias("n"), ev.one_to_one(gold_, pred, ("tp",))["tp"].cast("long").alias("near"))
 
 
 # One text for each detector, {n} being four digits of a key: name, text, category, start, end, score.

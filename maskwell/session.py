@@ -70,8 +70,8 @@ TASK_BYTES, MOST_TASKS = 2 << 20, 4096
 KNOWN_BYTES = 1 << 50
 
 
-def spread(rows: DataFrame, most: int = KNOWN_BYTES) -> DataFrame:
-    """rows dealt out over all cores, in tasks of about TASK_BYTES, if they are at most so many bytes.
+def spread(rows: DataFrame, most: int = KNOWN_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows dealt out (by columns) over all cores, in tasks of about TASK_BYTES, if they are at most so many bytes.
 
     A table can be few row groups of one file however many rows it has, and so few long tasks. What
     follows costs each row far more than this shuffle. Streams and rows of unknown size stay as they are.
@@ -80,4 +80,4 @@ def spread(rows: DataFrame, most: int = KNOWN_BYTES) -> DataFrame:
     if rows.isStreaming or size > most:
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores * max(1, min(-(-size // (TASK_BYTES * cores)), MOST_TASKS // cores)))
+    return rows.repartition(cores * max(1, min(-(-size // (TASK_BYTES * cores)), MOST_TASKS // cores)), *by)

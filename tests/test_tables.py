@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from maskwell import __main__ as cli
+from maskwell import __main__ as cli, queries as engine
 from maskwell.functions import columns as c, layout, udfs
 from maskwell.operators import arbitrate, dates, relational as rel, resolve, structure, tagger, validate
 from maskwell.plans import contacts, evaluate as ev, harness, service, vault
@@ -149,6 +149,28 @@ def test_one_to_one_against_a_loop(spark):
         assert (tp, fp, fn, exact, uncovered) == (hits, len(pred) - hits, len(gold_) - hits, same, bare)
 
 
+def test_one_to_one_counts_wanted_and_odd_spans(spark):
+    kind = "array<struct<start:int,end:int,label:string>>"
+    a, b = [(0, 4, "A"), None, (2, 6, "A"), (8, 9, None)], [(3, 5, "A"), (None, 5, "A"), (8, 9, None)]
+    df = spark.createDataFrame([(0, a, b), (1, a, None), (2, None, b), (3, [], b)], f"k int, g {kind}, p {kind}").orderBy("k")
+    both = df.select(ev.one_to_one("g", "p").alias("all"), ev.one_to_one("g", "p", ("fn", "tp")).alias("some")).collect()
+    assert [tuple(r["all"]) for r in both] == [(1, 2, 3, 0, 0), (0, 0, 4, 0, 0), (None,) * 5, (0, 3, 0, 0, 0)]
+    assert [r["some"].asDict() for r in both] == [{"fn": r["all"]["fn"], "tp": r["all"]["tp"]} for r in both]
+
+
+def test_matching_is_written_once(spark):
+    kind = "array<struct<start:int,end:int,label:string>>"
+    df = spark.createDataFrame([([], [])], f"g {kind}, p {kind}")
+    plan = lambda of: df.select(of.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ev.one_to_one("g", "p")).count("array_contains") == 1
+    assert plan(ev.matched("g", "p")).count("array_contains") == 2  # what is taken, and what is left over
+
+
+def test_gold_overlap_counts_deals_lines_out_before_it_collects_them(spark, sf):
+    above, below = engine.QUERIES["gold_overlap_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert "Aggregate" in above and "Aggregate" not in below and "REPARTITION_BY_NUM" in below
+
+
 def test_contacts_on_the_jvm(spark, sf):
     from maskwell.plans.contacts import mask_contacts
 
